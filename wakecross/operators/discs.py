@@ -7,6 +7,10 @@ from wakecross.functions.geometry import clamp, points_d2
 from wakecross.operators.steps import let
 
 
+# Room for rounding in a power, in square degrees; well under a micrometre.
+TOUCH = 1e-15
+
+
 def discs_meet_in_box(pairs: DataFrame, a, b, box) -> DataFrame:
     """Rows in which two discs and a box have a point in common.
 
@@ -52,4 +56,4 @@ def discs_meet_in_box(pairs: DataFrame, a, b, box) -> DataFrame:
         larger_power(F.col("cbx_"), F.col("cby_")),
         F.when(F.col("apart_").isNotNull(), larger_power(F.col("lx_"), F.col("ly_"))),
     )
-    return steps.where(lowest <= 0).select(*columns)
+    return steps.where(lowest <= TOUCH).select(*columns)

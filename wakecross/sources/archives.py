@@ -1,8 +1,9 @@
 """Daily zip archives of position files."""
 
 import io
+import itertools
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,24 +36,30 @@ def present_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
-def _lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Data lines of every CSV in each archive, in batches, without header lines."""
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    if not name.lower().endswith(".csv"):
-                        continue
-                    with archive.open(name) as member:
-                        text = io.TextIOWrapper(member, encoding="utf-8")
-                        next(text, None)
-                        block = []
-                        for line in text:
-                            block.append(line.rstrip("\r\n"))
-                            if len(block) == LINES_PER_BATCH:
-                                yield pd.DataFrame({"path": path, "line": block})
-                                block = []
-                        yield pd.DataFrame({"path": path, "line": block})
+def _line_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The task function, made here so that it travels to executors by value."""
+
+    def lines(batches):
+        """Data lines of every CSV in each archive, in batches, without header lines."""
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in archive.namelist():
+                        if not name.lower().endswith(".csv"):
+                            continue
+                        with archive.open(name) as member:
+                            text = io.TextIOWrapper(member, encoding="utf-8")
+                            next(text, None)
+                            while block := list(itertools.islice(text, LINES_PER_BATCH)):
+                                yield pd.DataFrame({"path": path, "line": [x.rstrip("\r\n") for x in block]})
+
+    return lines
+
+
+def archive_positions(files: DataFrame) -> DataFrame:
+    """Positions of every CSV in archives given as rows of path and content."""
+    lines = files.select("path", "content").mapInPandas(_line_reader(), "path STRING, line STRING")
+    return lines.select(F.from_csv("line", POSITION_SCHEMA).alias("p")).select("p.*")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +68,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     Lines are streamed out of an archive and parsed by Spark. An archive is one
     binary value and so must stay below 2 GB.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    lines = files.select("path", "content").mapInPandas(_lines, "path STRING, line STRING")
-    return lines.select(F.from_csv("line", POSITION_SCHEMA).alias("p")).select("p.*")
+    return archive_positions(
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    )
