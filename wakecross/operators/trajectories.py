@@ -105,11 +105,12 @@ def trajectory_segments(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_
 
 
 def _measures() -> dict[str, Column]:
-    """Length and extent over segments; each point is the start of one, or a line's end."""
+    """Length and extent over segments; a line's last row has no end and adds its start only."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     return {
         "length": F.sum(F.sqrt(G.points_d2(x1, y1, x2, y2))),
-        "xmin": F.min("x1"), "ymin": F.min("y1"), "xmax": F.max("x1"), "ymax": F.max("y1"),
+        "xmin": F.min(F.least("x1", "x2")), "ymin": F.min(F.least("y1", "y2")),
+        "xmax": F.max(F.greatest("x1", "x2")), "ymax": F.max(F.greatest("y1", "y2")),
     }
 
 
