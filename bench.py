@@ -1,8 +1,9 @@
 """Times the headline queries and prints one JSON line.
 
-Each query is planned and run in full twice in one session; every result is
-counted together with a hash of all its columns, so that no column is pruned.
-The second, warm time is reported; the sum is the headline figure.
+Each query is planned and run in full three times in one session; every result
+is counted together with a hash of all its columns, so that no column is
+pruned. The better of the two warm times is reported; the sum is the headline
+figure. The first times are listed as cold.
 """
 
 import json
@@ -34,7 +35,7 @@ def main() -> None:
     times, cold, rows = {}, {}, {}
     for name in HEADLINE:
         cold[name], _ = run(spark, name, sf_dir)
-        times[name], rows[name] = run(spark, name, sf_dir)
+        times[name], rows[name] = min(run(spark, name, sf_dir) for _ in range(2))
     rounded = {name: round(value, 3) for name, value in times.items()}
     print(json.dumps({
         "metric": "headline_queries_total",

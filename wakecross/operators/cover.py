@@ -21,22 +21,22 @@ def cell_box(level: int) -> tuple[Column, Column, Column, Column]:
     return ix * side - 180.0, iy * side - 90.0, (ix + 1) * side - 180.0, (iy + 1) * side - 90.0
 
 
-def box_keys(shapes: DataFrame, level: int, west, south, east, north) -> DataFrame:
+def box_keys(shapes: DataFrame, level: int, west, south, east, north, first: Column | None = None) -> DataFrame:
     """One row per shape and cell of its bounding box: ix, iy, first.
 
     If the boxes of two shapes overlap, exactly one shared cell is the first
     column of either box and the first row of either box. So a pair can be
-    taken once, before any distance is computed.
+    taken once, before any distance is computed. Bits of ``first`` are added.
     """
-    return (
-        shapes.withColumn("iy", F.explode(F.sequence(row_index(south, level), row_index(north, level))))
-        .withColumn("ix", F.explode(F.sequence(column_index(west, level), column_index(east, level))))
-        .withColumn(
-            "first",
-            F.when(F.col("ix") == column_index(west, level), FIRST_X).otherwise(0)
-            + F.when(F.col("iy") == row_index(south, level), FIRST_Y).otherwise(0),
-        )
-    )
+    kept = shapes.columns
+    rows = shapes.select("*", F.explode(F.sequence(row_index(south, level), row_index(north, level))).alias("iy"))
+    cells = rows.select("*", F.explode(F.sequence(column_index(west, level), column_index(east, level))).alias("ix"))
+    bits = F.when(F.col("ix") == column_index(west, level), FIRST_X).otherwise(0) + F.when(
+        F.col("iy") == row_index(south, level), FIRST_Y
+    ).otherwise(0)
+    if first is not None:
+        bits = bits + first
+    return cells.select(*kept, "ix", "iy", bits.alias("first"))
 
 
 def _with_cell(rows: DataFrame, level: int, near_d2: Column, far_d2: Column) -> DataFrame:

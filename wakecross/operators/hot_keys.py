@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakecross.sources.tables import stored
+
 # A key above this many rows is split.
 KEY_ROWS = 20_000
 # Bound on the number of keys that are split, and so on what is broadcast.
@@ -22,6 +24,16 @@ def hot_keys(rows: DataFrame, keys: list[str], key_rows: int = KEY_ROWS) -> Data
     return sizes.where(large).withColumn("parts", F.ceil(F.col("size") / key_rows))
 
 
+def found_hot_keys(rows: DataFrame, keys: list[str], key_rows: int = KEY_ROWS) -> DataFrame | None:
+    """The hot keys, counted and stored at once; None where there are none.
+
+    Knowing this before the plan is built keeps the usual plan, without hot
+    keys, free of the joins that split them.
+    """
+    hot = stored(hot_keys(rows, keys, key_rows))
+    return None if hot.isEmpty() else hot
+
+
 def tile_hot_keys(rows: DataFrame, keys: list[str], row_id: str, key_rows: int = KEY_ROWS) -> DataFrame:
     """Prepares rows for a self-join on ``keys`` plus ``tile``.
 
@@ -30,16 +42,17 @@ def tile_hot_keys(rows: DataFrame, keys: list[str], row_id: str, key_rows: int =
     nothing but it counts them, see ``same_tile``. Both sides of the join are
     the same frame, so that one shuffle serves both. Other keys have one tile.
     """
-    hot = F.broadcast(hot_keys(rows, keys, key_rows).select(*keys, "parts"))
+    zero = F.lit(0).cast("long")
+    hot = found_hot_keys(rows, keys, key_rows)
+    if hot is None:
+        return rows.select("*", zero.alias("block"), zero.alias("other"), zero.alias("tile"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    return (
-        rows.join(hot, keys, "left")
-        .withColumn("parts", parts)
-        .withColumn("block", F.pmod(F.xxhash64(row_id), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .withColumn("tile", F.least("block", "other") * F.col("parts") + F.greatest("block", "other"))
-        .drop("parts")
+    blocks = rows.join(F.broadcast(hot.select(*keys, "parts")), keys, "left").select(
+        *rows.columns, parts.alias("parts"), F.pmod(F.xxhash64(row_id), parts).alias("block"),
+        F.explode(F.sequence(zero, parts - 1)).alias("other"),
     )
+    tile = F.least("block", "other") * F.col("parts") + F.greatest("block", "other")
+    return blocks.select(*rows.columns, "block", "other", tile.alias("tile"))
 
 
 def same_tile(left: str = "a", right: str = "b") -> Column:

@@ -9,7 +9,6 @@ from wakecross.functions.units import LINE_LEVEL, PING_LEVEL
 from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box
 from wakecross.operators.hot_keys import KEY_ROWS, same_tile, tile_hot_keys
 from wakecross.operators.segments import meeting, with_box_distances
-from wakecross.operators.steps import let
 
 # Long segments are keyed in pieces of at most this many cells a side.
 PIECE_CELLS = 4
@@ -29,15 +28,15 @@ def segment_keys(buffered: DataFrame, level: int) -> DataFrame:
     pieces = F.greatest(F.ceil(longest / (PIECE_CELLS * cell_side(level))), F.lit(1).cast("long"))
     cut = buffered.select(
         "ping_id", "mmsi", "window_start", "window_end", *SEGMENT, "r", pieces.alias("pieces")
-    ).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    ).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
     start, end = F.col("piece") / F.col("pieces"), (F.col("piece") + 1) / F.col("pieces")
     xa, xb, ya, yb = x1 + start * (x2 - x1), x1 + end * (x2 - x1), y1 + start * (y2 - y1), y1 + end * (y2 - y1)
     reach = F.col("r") * SLACK
-    boxed = let(
-        cut,
-        west=F.least(xa, xb) - reach, south=F.least(ya, yb) - reach,
-        east=F.greatest(xa, xb) + reach, north=F.greatest(ya, yb) + reach,
-    ).drop("piece", "pieces")
+    boxed = cut.select(
+        *[c for c in cut.columns if c not in ("piece", "pieces")],
+        (F.least(xa, xb) - reach).alias("west"), (F.least(ya, yb) - reach).alias("south"),
+        (F.greatest(xa, xb) + reach).alias("east"), (F.greatest(ya, yb) + reach).alias("north"),
+    )
     return box_keys(boxed, level, *(F.col(c) for c in BOX))
 
 

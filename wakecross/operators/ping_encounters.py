@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wakecross.functions import geometry as G
 from wakecross.functions.grid import cell_column, cell_id, cell_of, cell_row
-from wakecross.functions.motion import half_window, velocity, window_of_velocities
+from wakecross.functions.motion import SHORTEST_WINDOW, half_window, velocity, window_of_velocities
 from wakecross.functions.units import PING_LEVEL, PING_RADIUS
 from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box
 from wakecross.operators.discs import discs_meet_in_box
@@ -19,8 +19,10 @@ EMIT = ("point", "shared")
 BUCKET_SECONDS = {"reference": 14_400, "corrected": 900}
 
 
-def _time_keys(pings: DataFrame, radius: float, mode: str, bucket_seconds: int) -> DataFrame:
-    """One row per ping and time bucket its own half of a window reaches into.
+def _buckets(
+    pings: DataFrame, radius: float, mode: str, bucket_seconds: float, max_seconds: float | None
+) -> tuple[Column, Column]:
+    """First and last time bucket that a ping's own half of a window reaches into.
 
     Two pings within their window share a bucket, and exactly one shared
     bucket is the first of either. Buckets beyond the first and last ping are
@@ -28,34 +30,38 @@ def _time_keys(pings: DataFrame, radius: float, mode: str, bucket_seconds: int)
     """
     seconds = F.unix_micros("ts") / 1e6
     half = half_window(F.col("sog_kmph"), radius, mode)
+    if max_seconds is not None:
+        half = F.least(half, F.lit(max_seconds + 1.0))
     low, high = seconds - half, seconds + half
     if mode == "reference":
-        times = pings.agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-        low = F.greatest(low, times.select(F.unix_micros("low") / 1e6).scalar())
-        high = F.least(high, times.select(F.unix_micros("high") / 1e6).scalar())
-    earliest, latest = F.floor(low / bucket_seconds), F.floor(high / bucket_seconds)
-    return pings.withColumn("earliest", earliest).withColumn(
-        "bucket", F.explode(F.sequence("earliest", latest))
-    ).withColumn("first_t", F.when(F.col("bucket") == F.col("earliest"), FIRST_T).otherwise(0))
+        times = pings.agg((F.unix_micros(F.min("ts")) / 1e6).alias("low"), (F.unix_micros(F.max("ts")) / 1e6).alias("high"))
+        low = F.greatest(low, times.select("low").scalar())
+        high = F.least(high, times.select("high").scalar())
+    return F.floor(low / bucket_seconds), F.floor(high / bucket_seconds)
 
 
 def ping_keys(
-    pings: DataFrame, radius: float, level: int, mode: str, bucket_seconds: int | None = None,
+    pings: DataFrame, radius: float, level: int, mode: str, max_seconds: float | None = None
 ) -> DataFrame:
     """Pings keyed by each cell and time bucket they can meet another ping in."""
+    bucket_seconds = BUCKET_SECONDS[mode]
+    if max_seconds is not None:
+        bucket_seconds = min(bucket_seconds, max(2 * max_seconds, SHORTEST_WINDOW))
     velocities = velocity(F.col("sog_kmph"), F.col("heading"), mode)
-    known = F.col("sog_kmph").isNotNull()
+    known = F.col("mmsi").isNotNull() & F.col("sog_kmph").isNotNull() & F.col("ts").isNotNull()
     if mode == "reference":
         known = known & F.col("heading").isNotNull()
-    moving = pings.where(known & F.col("ts").isNotNull()).select(
-        "ping_id", "mmsi", "vessel_name", "ts", "lon", "lat", "sog_kmph",
-        velocities[0].alias("vx"), velocities[1].alias("vy"),
+    earliest, latest = _buckets(pings, radius, mode, bucket_seconds, max_seconds)
+    carried = ["ping_id", "mmsi", "vessel_name", "ts", "lon", "lat", "sog_kmph", "vx", "vy"]
+    timed = pings.where(known).select(
+        *carried[:-2], velocities[0].alias("vx"), velocities[1].alias("vy"), earliest.alias("earliest"),
+        F.explode(F.sequence(earliest, latest)).alias("bucket"),
     )
-    timed = _time_keys(moving, radius, mode, bucket_seconds or BUCKET_SECONDS[mode])
+    first_t = F.when(F.col("bucket") == F.col("earliest"), FIRST_T).otherwise(0)
     reach = radius * SLACK
     lon, lat = F.col("lon"), F.col("lat")
-    boxed = box_keys(timed, level, lon - reach, lat - reach, lon + reach, lat + reach)
-    return boxed.withColumn("first", F.col("first") + F.col("first_t")).drop("earliest", "first_t")
+    boxed = box_keys(timed, level, lon - reach, lat - reach, lon + reach, lat + reach, first_t)
+    return boxed.select(*carried, "ix", "iy", "bucket", "first")
 
 
 def _velocity(side: str) -> tuple[Column, Column, Column]:
@@ -82,7 +88,7 @@ def ping_encounters(
     """
     if emit not in EMIT or mode not in BUCKET_SECONDS:
         raise ValueError(f"unknown emit or mode: {emit}, {mode}")
-    keyed = ping_keys(pings, radius, level, mode)
+    keyed = ping_keys(pings, radius, level, mode, max_seconds)
     if outside is not None:
         if emit != "shared":
             raise ValueError("cells can be left out before pairing in shared mode only")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wakecross.functions import geometry as G
 from wakecross.functions.units import AREA_CAP, LINE_RADIUS, TRAJECTORY_WINDOW
-from wakecross.operators.hot_keys import hot_keys
+from wakecross.operators.hot_keys import found_hot_keys
 from wakecross.sources.tables import stored
 
 # A trajectory above this many pings is handled in several parts.
@@ -16,8 +16,8 @@ PART = [*LINE, "part"]
 
 
 def window_pings(pings: DataFrame, length: str = TRAJECTORY_WINDOW) -> DataFrame:
-    """Pings with the bounds of their tumbling window."""
-    timed = pings.where(F.col("ts").isNotNull()).select(
+    """Pings with the bounds of their tumbling window; a ping needs a vessel and a time."""
+    timed = pings.where(F.col("mmsi").isNotNull() & F.col("ts").isNotNull()).select(
         "ping_id", "mmsi", "ts", "lon", "lat", F.window("ts", length).alias("w")
     )
     return timed.select(
@@ -26,25 +26,29 @@ def window_pings(pings: DataFrame, length: str = TRAJECTORY_WINDOW) -> DataFrame
     )
 
 
-def part_pings(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
-    """Windowed pings with the part of their line.
+def part_pings(
+    pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Windowed pings with the part of their line, and those of cut lines alone.
 
     Ordinary lines are one part, number 0, and have no ``line_points``. A line
-    of very many pings, such as one of a shared vessel number, is cut by time
-    into parts, so that no task has to take it whole; its size is known.
+    of very many pings, such as one of a shared vessel number, is cut into
+    parts of at most ``part_rows``, so that no task has to take it whole. Its
+    pings are put in order over all tasks by range, whatever they share, and
+    stored, since a part is a stretch of that order.
     """
     timed = window_pings(pings, length)
-    hot = F.broadcast(
-        hot_keys(timed, LINE, part_rows).select(*LINE, F.col("size").alias("line_points"), "parts")
-    )
-    into = F.unix_micros("ts") - F.unix_micros("window_start")
-    whole = F.unix_micros("window_end") - F.unix_micros("window_start")
-    part = F.floor(into * F.col("parts") / whole)
-    return (
-        timed.join(hot, LINE, "left")
-        .withColumn("part", F.coalesce(part, F.lit(0).cast("long")))
-        .drop("parts")
-    )
+    hot = found_hot_keys(timed, LINE, part_rows)
+    whole = {"part": F.lit(0).cast("long"), "line_points": F.lit(None).cast("long")}
+    if hot is None:
+        return timed.withColumns(whole), None
+    sizes = F.broadcast(hot.select(*LINE, F.col("size").alias("line_points")))
+    order = [*LINE, "ts", "ping_id"]
+    ordered = timed.join(sizes, LINE).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The id counts up within each range and leaves a gap between ranges.
+    part = F.floor(F.monotonically_increasing_id() / part_rows)
+    cut = stored(ordered.select(*timed.columns, part.alias("part"), "line_points"))
+    return timed.join(sizes, LINE, "left_anti").withColumns(whole).unionByName(cut), cut
 
 
 def trajectories(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
@@ -54,18 +58,18 @@ def trajectories(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: i
     come in several rows, numbered by ``part``.
     """
     point = F.struct("ts", "ping_id", "lon", "lat")
+    parted, _ = part_pings(pings, length, part_rows)
     return (
-        part_pings(pings, length, part_rows)
-        .groupBy(*PART, "window_end")
+        parted.groupBy(*PART, "window_end")
         .agg(F.array_sort(F.collect_list(point)).alias("points"), F.max("line_points").alias("line_points"))
         .withColumn("n_points", F.coalesce("line_points", F.size("points").cast("long")))
         .drop("line_points")
     )
 
 
-def _next_part_points(hot: DataFrame) -> DataFrame:
+def _next_part_points(cut: DataFrame) -> DataFrame:
     """For each part of a cut line, the first point of the part that follows."""
-    firsts = hot.groupBy(*PART).agg(
+    firsts = cut.groupBy(*PART).agg(
         F.min_by(F.struct("lon", "lat"), F.struct("ts", "ping_id")).alias("next_part")
     )
     before = F.lag("part").over(Window.partitionBy(*LINE).orderBy("part"))
@@ -79,7 +83,7 @@ def trajectory_segments(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_
     its line, and length (degrees) and extent of its part of the line. One
     shuffle serves all window functions; the parts of a cut line are stitched.
     """
-    parted = part_pings(pings, length, part_rows)
+    parted, cut = part_pings(pings, length, part_rows)
     along = Window.partitionBy(*PART).orderBy("ts", "ping_id")
     whole = Window.partitionBy(*PART)
     stepped = parted.withColumns(
@@ -88,17 +92,17 @@ def trajectory_segments(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_
             "part_points": F.count(F.lit(1)).over(whole),
         }
     )
-    joints = _next_part_points(parted.where(F.col("line_points").isNotNull()))
     n_points = F.coalesce("line_points", "part_points")
-    end = F.coalesce("following", "next_part", F.when(n_points == 1, F.struct("lon", "lat")))
-    segments = (
-        stepped.join(joints, PART, "left")
-        .select(
-            *PART, "window_end", "ping_id", n_points.alias("n_points"),
-            F.col("line_points").isNotNull().alias("is_cut"),
-            F.col("lon").alias("x1"), F.col("lat").alias("y1"),
-            end.lon.alias("x2"), end.lat.alias("y2"),
-        )
+    ends = [F.col("following"), F.when(n_points == 1, F.struct("lon", "lat"))]
+    if cut is not None:
+        stepped = stepped.join(_next_part_points(cut), PART, "left")
+        ends.insert(1, F.col("next_part"))
+    end = F.coalesce(*ends)
+    segments = stepped.select(
+        *PART, "window_end", "ping_id", n_points.alias("n_points"),
+        F.col("line_points").isNotNull().alias("is_cut"),
+        F.col("lon").alias("x1"), F.col("lat").alias("y1"),
+        end.lon.alias("x2"), end.lat.alias("y2"),
     )
     measured = segments.withColumns({name: value.over(whole) for name, value in _measures().items()})
     return measured.where(F.col("x2").isNotNull())
@@ -116,8 +120,10 @@ def _measures() -> dict[str, Column]:
 
 def whole_line_measures(segments: DataFrame) -> DataFrame:
     """Stored segments with length and extent of the whole line also where it is cut."""
+    if segments.where("is_cut").isEmpty():
+        return segments
     merge = {"length": F.sum, "xmin": F.min, "ymin": F.min, "xmax": F.max, "ymax": F.max}
-    parts = segments.where("is_cut").groupBy(*PART).agg(*[F.first(c).alias(c) for c in merge])
+    parts = segments.where("is_cut").groupBy(*PART).agg(*[F.max(c).alias(c) for c in merge])
     lines = parts.groupBy(*LINE).agg(*[f(c).alias(f"line_{c}") for c, f in merge.items()])
     # One row per cut line, and hot_keys bounds their number.
     joined = segments.join(F.broadcast(lines), LINE, "left")
@@ -126,12 +132,6 @@ def whole_line_measures(segments: DataFrame) -> DataFrame:
     )
 
 
-def most_points(pings: DataFrame, length: str = TRAJECTORY_WINDOW) -> DataFrame:
-    """The largest number of points of any line, as one row."""
-    sizes = window_pings(pings, length).groupBy(*LINE).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n").alias("most"))
-
-
 def line_radius(n_points: Column, most: Column, base: float = LINE_RADIUS) -> Column:
     """Buffer radius of a line: the fewer points, the wider."""
     return most * base / n_points
@@ -147,14 +147,13 @@ def buffered_segments(
 ) -> DataFrame:
     """Segments with the radius r of their line, without lines above the area cap.
 
-    ``most`` is the point count of the largest line. It is a scalar subquery
-    over the input unless given, so nothing is brought to the driver. The
-    segments are stored, since the steps that follow pass over them more than
-    once.
+    ``most`` is the point count of the largest line. Unless given, it is a
+    scalar subquery and so does not come to the driver. The segments are
+    stored, since this and the steps that follow pass over them more than once.
     """
-    segments = whole_line_measures(stored(trajectory_segments(pings, length, part_rows)))
-    largest = F.lit(most) if most is not None else most_points(pings, length).scalar()
-    buffered = segments.withColumn("r", line_radius(F.col("n_points"), largest, base))
+    segments = stored(trajectory_segments(pings, length, part_rows))
+    largest = F.lit(most) if most is not None else segments.agg(F.max("n_points")).scalar()
+    buffered = whole_line_measures(segments).withColumn("r", line_radius(F.col("n_points"), largest, base))
     if area_cap is None:
         return buffered
     area = G.buffer_area(
@@ -171,7 +170,8 @@ def thinned(pings: DataFrame, tolerance: float, length: str = TRAJECTORY_WINDOW,
     """
     along = Window.partitionBy(*PART).orderBy("ts", "ping_id")
     near = F.struct("lon", "lat")
-    around = part_pings(pings, length, part_rows).withColumns(
+    parted, _ = part_pings(pings, length, part_rows)
+    around = parted.withColumns(
         {"before": F.lag(near).over(along), "after": F.lead(near).over(along)}
     )
     chord = (F.col("before.lon"), F.col("before.lat"), F.col("after.lon"), F.col("after.lat"))

@@ -32,7 +32,8 @@ def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indexed cargo pings, in enough parts for every core."""
     cargo = cargo_pings(snake_case(raw_positions(spark, sf_dir)))
-    return index_pings(spread(cargo, "ping_id", factor=1))
+    source = table(spark, sf_dir, "events").select("event_id")
+    return index_pings(spread(cargo, "ping_id", factor=1, source=source))
 
 
 def harbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,14 +58,15 @@ def clustered(frame: DataFrame, *columns: str, partitions: int | None = None) ->
     return ranged.sortWithinPartitions(*columns)
 
 
-def spread(frame: DataFrame, *columns: str, factor: int = 4) -> DataFrame:
+def spread(frame: DataFrame, *columns: str, factor: int = 4, source: DataFrame | None = None) -> DataFrame:
     """Enough tasks for heavy work per row: ``factor`` per core of the cluster.
 
     Input that already comes in at least one part per core is left as it is,
-    since a shuffle of large input costs more than it gains.
+    since a shuffle of large input costs more than it gains. ``source``, the
+    table behind the frame, is quicker to ask for its parts.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
+    if (source or frame).rdd.getNumPartitions() >= cores:
         return frame
     return frame.repartition(cores * factor, *columns)
 
