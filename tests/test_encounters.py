@@ -11,6 +11,7 @@ from wakecross.operators import trajectories as T
 from wakecross.operators.cover import capsule_cover, disc_cover
 from wakecross.operators.harbours import encounters_outside, harbour_cells, outside_cells
 from wakecross.operators.hot_keys import hot_keys
+from wakecross.operators.joins import by_size
 from wakecross.operators.line_encounters import line_encounters
 from wakecross.operators.ping_encounters import ping_encounters
 from wakecross.operators.summaries import busiest, encounter_heatmap, line_heatmap, paths, with_lines
@@ -251,3 +252,15 @@ def test_lines_of_pairs(spark):
     assert paths(pairs, lines).count() == 2
     cut = with_lines(pairs, T.trajectories(frame, part_rows=1)).first()
     assert cut.line_1 is None and cut.line_2 is not None
+
+
+def test_sides_are_broadcast_by_their_counted_size(spark):
+    cells = spark.range(10).select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("ix"))
+    rows = spark.range(5).select(F.col("id").alias("ix"))
+
+    def plan(limit):
+        joined = rows.join(by_size(cells, limit), "ix", "left_anti")
+        return joined._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(1000)
+    assert "SortMergeJoin" in plan(999)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wakecross.functions.units import HARBOUR_RADIUS, PING_LEVEL
 from wakecross.operators.cover import disc_cover
+from wakecross.operators.joins import by_size
 
 
 def harbour_cells(ports: DataFrame, radius: float | None = HARBOUR_RADIUS, level: int = PING_LEVEL) -> DataFrame:
@@ -20,10 +21,11 @@ def harbour_cells(ports: DataFrame, radius: float | None = HARBOUR_RADIUS, level
 def outside_cells(candidates: DataFrame, cells: DataFrame, column: str) -> DataFrame:
     """Candidate rows whose cell is not among ``cells.cell``.
 
-    Each row is judged by itself: a pair stays with its cells outside. Whether
-    the cells are broadcast is left to their size at run time.
+    Each row is judged by itself: a pair stays with its cells outside. The
+    cells are broadcast only if a count shows that they are few.
     """
-    return candidates.join(cells, candidates[column] == cells["cell"], "left_anti")
+    listed = by_size(cells.select(F.col("cell").alias(column)))
+    return candidates.join(listed, column, "left_anti")
 
 
 def encounters_outside(candidates: DataFrame, cells: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from wakecross.functions.units import PING_LEVEL, PING_RADIUS
 from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box
 from wakecross.operators.discs import discs_meet_in_box
 from wakecross.operators.hot_keys import KEY_ROWS, same_tile, tile_hot_keys
+from wakecross.operators.joins import by_size
 
 FIRST_T = 4
 EMIT = ("point", "shared")
@@ -93,7 +94,7 @@ def ping_encounters(
         if emit != "shared":
             raise ValueError("cells can be left out before pairing in shared mode only")
         cells = outside.select(cell_column(F.col("cell")).alias("ix"), cell_row(F.col("cell")).alias("iy"))
-        keyed = keyed.join(cells, ["ix", "iy"], "left_anti")
+        keyed = keyed.join(by_size(cells), ["ix", "iy"], "left_anti")
     tiled = tile_hot_keys(keyed, ["ix", "iy", "bucket"], "ping_id", key_rows)
 
     a, b = tiled.alias("a"), tiled.alias("b")

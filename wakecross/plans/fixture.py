@@ -17,8 +17,8 @@ def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS ping_id",
         "366000000 + user_id AS MMSI",
-        "timestamp_seconds(1704067200 + (unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) div 240000000)"
-        " AS BaseDateTime",
+        "timestamp_seconds(1704067200 + timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"
+        " div 240000000) AS BaseDateTime",
         "(-120000000 + ((user_id div 3) % 25) * 50000 + (event_id * 7919) % 2400) / 1e6D AS LON",
         "(33000000 + ((user_id div 3) div 25) * 50000 + (event_id * 104729) % 2400) / 1e6D AS LAT",
         "((event_id * 13) % 250) / 10D AS SOG",

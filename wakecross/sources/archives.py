@@ -27,7 +27,7 @@ def daily_manifest(bounds: DataFrame) -> DataFrame:
 
 def missing_archives(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """The files of the manifest that are not among ``present.file_name``."""
-    return manifest.join(present, "file_name", "left_anti")
+    return manifest.join(present.select("file_name").distinct(), "file_name", "left_anti")
 
 
 def present_archives(spark: SparkSession, path: str) -> DataFrame:
