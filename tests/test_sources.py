@@ -86,6 +86,15 @@ def test_tables(spark, pings):
     spark.sql("DROP DATABASE wake_test")
 
 
+def test_only_the_frame_of_the_block_is_released(spark):
+    other = spark.range(3).persist()
+    with tables.cached(spark.range(7)) as kept:
+        assert kept.count() == 7 and kept.is_cached
+    assert not kept.is_cached and other.is_cached
+    other.unpersist()
+    assert tables.preview(other, 2).count() == 2
+
+
 def test_clustered_files_are_disjoint_ranges(spark, pings, tmp_path):
     path = str(tmp_path / "c")
     tables.overwrite_files(tables.clustered(pings, "ix", "ts", partitions=4), path)

@@ -2,7 +2,10 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +47,24 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def cached(frame: DataFrame) -> Iterator[DataFrame]:
+    """A frame kept in the cluster's memory and disk while the block runs.
+
+    Only this frame is released afterwards, not what others have cached.
+    """
+    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
+def preview(frame: DataFrame, rows: int = 1) -> DataFrame:
+    """A few rows to look at; without an order they may be any."""
+    return frame.limit(rows)
+
+
 def clustered(frame: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
     """Rows laid out by range of the given columns, and sorted within each file.
 
