@@ -1,7 +1,6 @@
 """Position and harbour rows derived from the events and nation tables."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from wakecross.sources.positions import cargo_pings, index_pings, snake_case
 from wakecross.sources.tables import spread
