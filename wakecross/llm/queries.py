@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wakecross.llm import decontamination
+from wakecross.llm import decontamination, jaccard_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,4 +17,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
-QUERIES = {"op6_decontamination": op6_decontamination}
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents."""
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_jaccard_join": op3_jaccard_join, "op6_decontamination": op6_decontamination}

@@ -56,3 +56,8 @@ def mapped(uri: str, dtype) -> np.ndarray:
 def open_file(uri: str):
     system, path = _system(uri)
     return system.open_input_file(path)
+
+
+def exists(uri: str) -> bool:
+    system, path = _system(uri)
+    return system.get_file_info(path).type == fs.FileType.File
