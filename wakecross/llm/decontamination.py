@@ -48,13 +48,33 @@ def store_benchmark(benchmark: DataFrame) -> str:
     return folder
 
 
+def _blocks(folder: str) -> list[list[str]]:
+    """The files of the stored benchmark in groups of bounded size."""
+    blocks, room = [], 0
+    for path, size in shared.files(folder, ".parquet"):
+        if room < size:
+            blocks.append([])
+            room = BLOCK_BYTES
+        blocks[-1].append(path)
+        room -= size
+    return blocks
+
+
+def _read(paths: list[str]) -> pa.Table:
+    tables = []
+    for path in paths:
+        with shared.open_file(path) as source:
+            tables.append(pq.read_table(source))
+    return pa.concat_tables(tables)
+
+
 class Windows:
     """The windows of one block of items as rows of symbols over the block's own vocabulary."""
 
     def __init__(self, table: pa.Table, window: int):
         self.items = np.array(table.column("item_id").to_pylist(), object)
         texts = [np.frombuffer(blob, np.uint64) for blob in table.column("words").to_pylist()]
-        counts = np.array([len(text) for text in texts])
+        counts = np.array([len(text) for text in texts], np.int64)
         flat = np.concatenate([*texts, np.zeros(0, np.uint64)])
         self.vocabulary, symbols = np.unique(flat, return_inverse=True)
         symbols = np.concatenate([symbols + 1, np.zeros(window, np.int64)])
@@ -123,7 +143,7 @@ def _merged(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _scan(folder: str, window: int, shard_words: int):
-    def search_shard(held: list, blocks: list[str]) -> Iterator[pa.RecordBatch]:
+    def search_shard(held: list, blocks: list[list[str]]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([h for _, h, _ in held])
         first = [np.zeros(1, np.int64)]
         for _, _, f in held:
@@ -132,8 +152,7 @@ def _scan(folder: str, window: int, shard_words: int):
         covered = np.zeros(len(hashes), bool)
         items = [set() for _ in range(len(first) - 1)]
         for block in blocks:
-            with shared.open_file(block) as source:
-                windows = Windows(pq.read_table(source), window)
+            windows = Windows(_read(block), window)
             hit, rows, found = _search(hashes, first, windows)
             covered |= hit
             for row, item in zip(rows.tolist(), windows.items[found].tolist(), strict=True):
@@ -155,7 +174,7 @@ def _scan(folder: str, window: int, shard_words: int):
             at += n
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.files(folder, ".parquet")
+        blocks = _blocks(folder)
         held, size = [], 0
         for batch in batches:
             for part in words.chunks(batch, "_text"):

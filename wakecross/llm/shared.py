@@ -21,11 +21,12 @@ def make_folder(uri: str) -> None:
     system.create_dir(path, recursive=True)
 
 
-def files(uri: str, suffix: str = "") -> list[str]:
-    """The files of a folder by name, in order."""
+def files(uri: str, suffix: str = "") -> list[tuple[str, int]]:
+    """The files of a folder, as paths that can be opened and sizes, in order."""
     system, path = _system(uri)
     found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    return sorted(info.path for info in found if info.is_file and info.path.endswith(suffix))
+    root = uri.rstrip("/")
+    return sorted((f"{root}/{f.base_name}", f.size) for f in found if f.is_file and f.path.endswith(suffix))
 
 
 def write_bytes(uri: str, data) -> None:
