@@ -87,12 +87,15 @@ class HashTable:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """For sorted keys: which are present, and their values (0 where absent)."""
+        return self.find_in(bucket_of(keys, self.buckets), keys)
+
+    def find_in(self, buckets: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The same for keys sorted by their buckets, and in them."""
         present = np.zeros(len(keys), bool)
         out = {name: np.zeros(len(keys), kind) for name, kind in self.types.items()}
-        cuts = bounds(keys, self.buckets)
-        for bucket in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[bucket], cuts[bucket + 1]
-            table, values = self._bucket(int(bucket))
+        cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1], [True]])) if len(keys) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            table, values = self._bucket(int(buckets[a]))
             if not len(table):
                 continue
             at = np.minimum(np.searchsorted(table, keys[a:b]), len(table) - 1)

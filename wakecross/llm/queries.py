@@ -1,8 +1,9 @@
 """The queries of this subpackage over the given tables."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wakecross.llm import decontamination, jaccard_join
+from wakecross.llm import decontamination, jaccard_join, language_model
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,4 +23,21 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_jaccard_join": op3_jaccard_join, "op6_decontamination": op6_decontamination}
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a model of nine tenths of them."""
+    documents = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", language_model.held_out().alias("held_out")
+    )
+    model = language_model.train(documents.where("not held_out"))
+    scored = language_model.score(documents, model, "doc_id", "held_out")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.totals["tokens"]).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
+QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
+    "op6_decontamination": op6_decontamination,
+    "op9_language_model": op9_language_model,
+}
