@@ -82,6 +82,9 @@ class HashTable:
                 self._open[bucket] = (shared.mapped(paths["key"], np.uint64), values)
         return self._open[bucket]
 
+    def columns(self, bucket: int) -> dict[str, np.ndarray]:
+        return self._bucket(bucket)[1]
+
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 

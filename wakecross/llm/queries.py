@@ -1,15 +1,23 @@
 """The queries of this subpackage over the given tables."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import decontamination, jaccard_join, language_model
+from wakecross.llm import bpe, decontamination, jaccard_join, language_model
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and back."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY, "doc_id")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = decontamination.contaminated_spans(
@@ -37,6 +45,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op9_language_model": op9_language_model,
