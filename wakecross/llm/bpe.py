@@ -110,47 +110,49 @@ def _distinct(splitter: Splitter, buckets: int):
 
 
 class WordTable:
-    """Distinct pieces by hash: their ids as text, the number of them, and the bytes they decode to."""
+    """Distinct pieces by hash: their ids as text, and the bytes they decode to."""
 
     def __init__(self, folder: str, buckets: int):
-        self.keys = packed.HashTable(folder, buckets, at=np.uint32, n=np.uint32, ids_end=np.uint64, out_end=np.uint64)
+        columns = dict(ids_at=np.uint64, ids_length=np.uint32, out_at=np.uint64, out_length=np.uint32)
+        self.keys = packed.HashTable(folder, buckets, **columns)
         self.folder, self._blobs = folder, {}
 
     def __getstate__(self):
         return self.__dict__ | {"_blobs": {}}
 
     def write(self, bucket: int, keys: np.ndarray, ids: list[list[int]], out: list[bytes]) -> None:
-        spelled = [",".join(map(str, x)).encode() for x in ids]
-        ends = [np.cumsum(np.fromiter(map(len, x), np.uint64, len(x))) for x in (spelled, out)]
-        counts = np.fromiter(map(len, ids), np.uint32, len(ids))
-        shared.write_bytes(f"{self.folder}/{bucket:07d}.ids", b"".join(spelled))
-        shared.write_bytes(f"{self.folder}/{bucket:07d}.out", b"".join(out))
-        self.keys.write(bucket, keys, at=np.arange(len(keys)), n=counts, ids_end=ends[0], out_end=ends[1])
-
-    def _blob(self, bucket: int, name: str) -> np.ndarray:
+        columns = {}
+        for name, values in (("ids", [",".join(map(str, x)).encode() for x in ids]), ("out", out)):
+            lengths = np.fromiter(map(len, values), np.uint32, len(values))
+            shared.write_bytes(f"{self.folder}/{bucket:07d}.{name}", b"".join(values))
+            columns |= {f"{name}_at": np.cumsum(lengths, dtype=np.uint64) - lengths, f"{name}_length": lengths}
+        self.keys.write(bucket, keys, **columns)
+
+    def _blob(self, bucket: int, name: str) -> memoryview:
         if (bucket, name) not in self._blobs:
-            self._blobs[bucket, name] = shared.mapped(f"{self.folder}/{bucket:07d}.{name}", np.uint8)
+            blob = shared.mapped(f"{self.folder}/{bucket:07d}.{name}", np.uint8)
+            self._blobs[bucket, name] = memoryview(blob)
         return self._blobs[bucket, name]
 
-    def find(self, pieces: list[str]) -> dict[str, tuple[str, int, bytes]]:
+    def find(self, pieces: list[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+        """Ids and decoded bytes of pieces, all of which must be in the table."""
         hashes = _hashes([p.encode() for p in pieces])
         order = np.argsort(hashes)
         keys = hashes[order]
         present, found = self.keys.find(keys)
         if not present.all():
             raise KeyError("a piece is not in the table of distinct words")
-        starts = {}
-        buckets = packed.bucket_of(keys, self.keys.buckets).tolist()
-        out = {}
-        rows = zip(order.tolist(), buckets, found["at"].tolist(), found["n"].tolist(), found["ids_end"].tolist(), found["out_end"].tolist(), strict=True)
-        for k, bucket, at, n, ids_end, out_end in rows:
-            ends = starts.get(bucket)
-            if ends is None:
-                ends = starts[bucket] = self.keys.columns(bucket)
-            a, b = (int(ends["ids_end"][at - 1]), int(ends["out_end"][at - 1])) if at else (0, 0)
-            ids = self._blob(bucket, "ids")[a:ids_end].tobytes().decode()
-            out[pieces[k]] = ids, n, self._blob(bucket, "out")[b:out_end].tobytes()
-        return out
+        names = [pieces[k] for k in order.tolist()]
+        cuts = packed.bounds(keys, self.keys.buckets)
+        ids, out = {}, {}
+        for bucket in np.flatnonzero(np.diff(cuts)).tolist():
+            own = slice(cuts[bucket], cuts[bucket + 1])
+            for target, name in ((ids, "ids"), (out, "out")):
+                blob = self._blob(bucket, name)
+                begin = found[f"{name}_at"][own].astype(np.int64)
+                end = (begin + found[f"{name}_length"][own]).tolist()
+                target.update(zip(names[own], [bytes(blob[a:b]) for a, b in zip(begin.tolist(), end, strict=True)], strict=True))
+        return {p: x.decode() for p, x in ids.items()}, out
 
 
 def _encode_bucket(table: WordTable, splitter: Splitter, vocabulary):
@@ -185,42 +187,48 @@ def word_table(texts: DataFrame, path: str) -> WordTable:
 
 
 def _join_back(table: WordTable, splitter: Splitter, finish):
-    """The pieces of each text joined with the table, in order; ``finish`` makes columns of the three lists."""
+    """The pieces of each text joined with the table, in order; ``finish`` makes columns of ids and bytes by piece."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter.open()
-        kept: dict[str, tuple[str, int, bytes]] = {}
+        ids: dict[str, str] = {}
+        out: dict[str, bytes] = {}
         for batch in batches:
             for part in words.chunks(batch, "_text", CHUNK_BYTES):
                 split = [splitter.pieces(text or "") for text in part.column("_text").to_pylist()]
-                fresh = set().union(*split).difference(kept)
-                if len(kept) + len(fresh) > KEPT_PIECES:
-                    kept = {}
-                    fresh = set().union(*split)
+                every = set().union(*split)
+                fresh = every.difference(ids)
+                if len(ids) + len(fresh) > KEPT_PIECES and ids:
+                    # What this chunk shows again stays at hand.
+                    again = every.intersection(ids)
+                    ids, out = {p: ids[p] for p in again}, {p: out[p] for p in again}
                 if fresh:
-                    kept.update(table.find(list(fresh)))
-                columns = finish([[kept[p] for p in pieces] for pieces in split])
+                    more = table.find(list(fresh))
+                    ids.update(more[0])
+                    out.update(more[1])
+                columns = finish(split, ids, out)
                 rest = part.drop_columns(["_text"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns.values()], names=[*rest.schema.names, *columns])
 
     return join
 
 
-def _lists(rows: list[list[tuple]]) -> dict[str, pa.Array]:
-    ids = [[int(x) for piece in row for x in piece[0].split(",")] for row in rows]
-    return {"ids": pa.array(ids, pa.list_(pa.int32()))}
+def _lists(split: list[list[str]], ids: dict[str, str], _: dict[str, bytes]) -> dict[str, pa.Array]:
+    rows = [[int(x) for p in pieces for x in ids[p].split(",")] for pieces in split]
+    return {"ids": pa.array(rows, pa.list_(pa.int32()))}
 
 
-def _digests(rows: list[list[tuple]]) -> dict[str, pa.Array]:
+def _digests(split: list[list[str]], ids: dict[str, str], out: dict[str, bytes]) -> dict[str, pa.Array]:
     def sha(data: bytes) -> str:
         return hashlib.sha256(data).hexdigest()
 
+    joined = [",".join(map(ids.__getitem__, pieces)) for pieces in split]
     # As the library decodes, bytes that are no UTF-8 become replacement characters.
-    decoded = [b"".join([p[2] for p in row]).decode("utf-8", "replace").encode() for row in rows]
+    decoded = [b"".join(map(out.__getitem__, pieces)).decode("utf-8", "replace").encode() for pieces in split]
     return {
-        "n_tokens": pa.array([sum(p[1] for p in row) for row in rows], pa.int64()),
-        "ids_sha256": pa.array([sha(",".join([p[0] for p in row]).encode()) for row in rows], pa.string()),
-        "decoded_sha256": pa.array([sha(d) for d in decoded], pa.string()),
+        "n_tokens": pa.array([x.count(",") + 1 if x else 0 for x in joined], pa.int64()),
+        "ids_sha256": pa.array([sha(x.encode()) for x in joined], pa.string()),
+        "decoded_sha256": pa.array([sha(x) for x in decoded], pa.string()),
     }
 
 

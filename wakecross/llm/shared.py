@@ -46,12 +46,12 @@ def mapped(uri: str, dtype) -> np.ndarray:
     """
     system, path = _system(uri)
     if isinstance(system, fs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.asarray(np.memmap(path, dtype, "r")) if os.path.getsize(path) else np.zeros(0, dtype)
     with tempfile.TemporaryFile() as local, system.open_input_stream(path) as source:
         while block := source.read(8 << 20):
             local.write(block)
         local.flush()
-        return np.memmap(local, dtype, "r") if local.tell() else np.zeros(0, dtype)
+        return np.asarray(np.memmap(local, dtype, "r")) if local.tell() else np.zeros(0, dtype)
 
 
 def open_file(uri: str):
