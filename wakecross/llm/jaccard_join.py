@@ -147,6 +147,23 @@ def _describe(table: packed.HashTable, k: int, percent: int):
     return describe
 
 
+def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Edges (node, smallest node of its component) of the graph of edges u - v."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        before = label.copy()
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+        np.minimum.at(label, before, label)
+        label = label[label]
+        if (label == before).all():
+            moved = label != np.arange(len(nodes))
+            return np.stack([nodes[moved], nodes[label[moved]]], 1)
+
+
 def _family_edges(table: packed.HashTable, k: int, percent: int, buckets: int):
     """Postings of 1-prefixes in order of frequency: stars within a flush, and each star's centre for its bucket."""
 
@@ -155,8 +172,7 @@ def _family_edges(table: packed.HashTable, k: int, percent: int, buckets: int):
         keys, nodes = keys[order], nodes[order]
         opens = np.concatenate([[True], keys[1:] != keys[:-1]])
         centre = nodes[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-        edges = np.unique(np.stack([nodes, centre], 1)[nodes != centre], axis=0)
-        return keys[opens], nodes[opens], edges
+        return keys[opens], nodes[opens], _forest(nodes, centre)
 
     def rows(edges):
         return pa.RecordBatch.from_arrays(
