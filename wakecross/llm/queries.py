@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import bpe, decontamination, jaccard_join, language_model
+from wakecross.llm import bpe, decontamination, jaccard_join, language_model, quality, secrets, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -44,9 +44,35 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _judged(scored: DataFrame, held_out) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, through all layers of encoding."""
+    return secrets.secrets(_table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"))
+    return _judged(quality.score(documents, model, "doc_id"), quality.fold() == 1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    fitted = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(documents, fitted, "doc_id"), language_model.held_out(toxicity.FOLDS))
+
+
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
     "op3_jaccard_join": op3_jaccard_join,
     "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
     "op9_language_model": op9_language_model,
+    "op10_toxicity": op10_toxicity,
 }
