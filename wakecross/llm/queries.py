@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import bpe, decontamination, jaccard_join, language_model, quality, secrets, toxicity
+from wakecross.llm import bpe, decontamination, html_text, jaccard_join, language_model, quality, secrets, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -67,12 +67,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(documents, fitted, "doc_id"), language_model.held_out(toxicity.FOLDS))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every twentieth."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"), "page_id", "url")
+
+
 QUERIES = {
     "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
     "op3_jaccard_join": op3_jaccard_join,
+    "op5_topk": op5_topk,
     "op6_decontamination": op6_decontamination,
     "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
     "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
 }
