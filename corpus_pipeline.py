@@ -7,15 +7,22 @@ read again as the next stage's docs. All but the last keep the columns of docume
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import decontamination, jaccard_join
+from wakecross.llm import bpe, decontamination, jaccard_join, quality, secrets
+from wakecross.llm.queries import VOCABULARY
 from wakecross.sources.tables import stored
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below one half go."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep(docs, model)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays: the one with the smallest doc_id. Rows without doc_id stay."""
     groups = jaccard_join.near_duplicates(docs)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    others = groups.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +30,33 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("jaccard_join", drop_near_duplicates), ("decontamination", drop_contaminated)]
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay."""
+    return secrets.redact(docs)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left, with digests of the ids and of what they decode to."""
+    return bpe.encode(docs, VOCABULARY, "doc_id").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids"
+    )
+
+
+STAGES = [
+    ("quality", drop_low_quality),
+    ("jaccard_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("bpe", to_tokens),
+]
 
-# Trained models and token ids are not SQL.
+# A trained model and token ids are not SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

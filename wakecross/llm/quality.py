@@ -176,3 +176,15 @@ def score(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
     schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
     return frame.mapInArrow(run, schema + "score double")
+
+
+def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents scored ``least`` or more, with their own columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.chunks(batch):
+                good = model.score(features(part.column("text")).astype(np.float64)) >= least
+                yield part.filter(pa.array(good))
+
+    return documents.mapInArrow(run, documents.schema)

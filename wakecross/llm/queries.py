@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import bpe, decontamination, html_text, jaccard_join, language_model, quality, secrets, topk, toxicity
+from wakecross.llm import bpe, decontamination, html_text, jaccard_join, language_model, passages, quality, secrets, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,11 @@ def _judged(scored: DataFrame, held_out) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that shares a passage of fifty words or more with others, the spans and the others."""
+    return passages.repeated_spans(passages.shared_passages(_table(spark, sf_dir, "documents")))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, through all layers of encoding."""
     return secrets.secrets(_table(spark, sf_dir, "documents"), "doc_id")
@@ -78,6 +83,7 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_passages": op1_passages,
     "op2_secrets": op2_secrets,
     "op4_bpe": op4_bpe,
     "op3_jaccard_join": op3_jaccard_join,
