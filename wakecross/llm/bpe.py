@@ -235,8 +235,7 @@ def _digests(split: list[list[str]], ids: dict[str, str], out: dict[str, bytes])
 def _with(documents: DataFrame, path: str, keep: tuple, finish, added: str) -> DataFrame:
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
     table = word_table(frame.select(F.col("_text").alias("text")), path)
-    schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(_join_back(table, Splitter(path), finish), schema + added)
+    return frame.mapInArrow(_join_back(table, Splitter(path), finish), words.extended(frame, added))
 
 
 def encode(documents: DataFrame, path: str, *keep: str) -> DataFrame:

@@ -207,8 +207,7 @@ def contaminated_spans(
     """
     folder = store_benchmark(benchmark)
     frame = documents.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(_scan(folder, window, shard_words), f"{schema}, {_FOUND}")
+    return frame.mapInArrow(_scan(folder, window, shard_words), words.extended(frame, _FOUND))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -226,5 +225,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without any benchmark passage, with their own columns."""
-    found = contaminated_spans(documents, benchmark, *documents.columns, window=window)
-    return found.where(F.size("hits") == 0).select(*documents.columns)
+    # As one value, the columns cannot clash with those that are added.
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    found = contaminated_spans(rows, benchmark, "_row", window=window)
+    return found.where(F.size("hits") == 0).select("_row.*")

@@ -199,5 +199,4 @@ def extract(pages: DataFrame, *keep: str) -> DataFrame:
     Columns in ``keep`` are passed on, repeated rows are treated alike.
     """
     frame = pages.select(*keep, F.col("html").cast("string").alias("_html"))
-    schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(_extract, schema + "text string, n_chars long")
+    return frame.mapInArrow(_extract, words.extended(frame, "text string, n_chars long"))

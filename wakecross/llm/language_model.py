@@ -301,5 +301,4 @@ def score(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
     training texts every token is unknown. Words are kept as 64-bit hashes, in pairs as 48 bits of them.
     """
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(_score(model), f"{schema}n_tokens long, n_known long, base_score double, score double")
+    return frame.mapInArrow(_score(model), words.extended(frame, "n_tokens long, n_known long, base_score double, score double"))

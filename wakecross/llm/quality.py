@@ -174,8 +174,7 @@ def score(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.columns, values], names=[*rest.schema.names, "score"])
 
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(run, schema + "score double")
+    return frame.mapInArrow(run, words.extended(frame, "score double"))
 
 
 def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

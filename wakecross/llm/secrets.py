@@ -268,8 +268,7 @@ def secrets(documents: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns.values()], names=[*rest.schema.names, *columns])
 
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    schema = "".join(f"`{name}` {kind}, " for name, kind in frame.dtypes[:-1])
-    return frame.mapInArrow(find, schema + added)
+    return frame.mapInArrow(find, words.extended(frame, added))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:

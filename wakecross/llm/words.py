@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 # Bytes of text that are turned into arrays at once; one longer text stands alone.
 CHUNK_BYTES = 2 << 20
@@ -126,3 +128,8 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     for j in range(k):
         total += np.where(width > j, padded[at + j], np.uint64(0)) * _COEFFICIENTS[j]
     return mix(total + width.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), start
+
+
+def extended(frame: DataFrame, added: str) -> StructType:
+    """The frame's schema with its last column, the text, replaced by the added ones."""
+    return StructType([*frame.schema.fields[:-1], *StructType.fromDDL(added).fields])
