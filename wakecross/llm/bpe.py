@@ -23,10 +23,12 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-FLUSH_PIECES = 400_000
+FLUSH_PIECES = 200_000
 # Pieces that a worker keeps at hand; more are looked up again.
 KEPT_PIECES = 200_000
 CHUNK_BYTES = 4 << 20
+# Pieces that the tokenizer holds at once; what it returns for each is large.
+ENCODED_PIECES = 10_000
 
 
 class Splitter:
@@ -120,9 +122,9 @@ class WordTable:
     def __getstate__(self):
         return self.__dict__ | {"_blobs": {}}
 
-    def write(self, bucket: int, keys: np.ndarray, ids: list[list[int]], out: list[bytes]) -> None:
+    def write(self, bucket: int, keys: np.ndarray, ids: list[bytes], out: list[bytes]) -> None:
         columns = {}
-        for name, values in (("ids", [",".join(map(str, x)).encode() for x in ids]), ("out", out)):
+        for name, values in (("ids", ids), ("out", out)):
             lengths = np.fromiter(map(len, values), np.uint32, len(values))
             shared.write_bytes(f"{self.folder}/{bucket:07d}.{name}", b"".join(values))
             columns |= {f"{name}_at": np.cumsum(lengths, dtype=np.uint64) - lengths, f"{name}_length": lengths}
@@ -162,12 +164,18 @@ def _encode_bucket(table: WordTable, splitter: Splitter, vocabulary):
         hashes, lengths, text = packed.gather(group, np.uint64, np.uint32, np.uint8)
         ends = np.cumsum(lengths.astype(np.int64))
         hashes, first = np.unique(hashes, return_index=True)
-        raw = text.tobytes()
-        pieces = [raw[ends[k] - lengths[k] : ends[k]].decode() for k in first.tolist()]
-        known = vocabulary.value
-        ids = [e.ids for e in splitter.open().tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        table.write(key[0].as_py(), hashes, ids, [b"".join([known[i] for i in x]) for x in ids])
-        return pa.table({"words": pa.array([len(pieces)], pa.int64())})
+        begin, end = (ends - lengths)[first], ends[first]
+        known, tokenizer = vocabulary.value, splitter.open().tokenizer
+        ids, out = [], []
+        for k in range(0, len(first), ENCODED_PIECES):
+            own = slice(k, k + ENCODED_PIECES)
+            pieces = [text[a:b].tobytes().decode() for a, b in zip(begin[own].tolist(), end[own].tolist(), strict=True)]
+            for encoded in tokenizer.encode_batch(pieces, add_special_tokens=False):
+                found = encoded.ids
+                ids.append(",".join(map(str, found)).encode())
+                out.append(b"".join([known[i] for i in found]))
+        table.write(key[0].as_py(), hashes, ids, out)
+        return pa.table({"words": pa.array([len(first)], pa.int64())})
 
     return encode
 
