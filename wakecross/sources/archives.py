@@ -48,7 +48,7 @@ def _line_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
                         if not name.lower().endswith(".csv"):
                             continue
                         with archive.open(name) as member:
-                            text = io.TextIOWrapper(member, encoding="utf-8")
+                            text = io.TextIOWrapper(member, encoding="utf-8", errors="replace")
                             next(text, None)
                             while block := list(itertools.islice(text, LINES_PER_BATCH)):
                                 yield pd.DataFrame({"path": path, "line": [x.rstrip("\r\n") for x in block]})
