@@ -25,10 +25,10 @@ PATTERN = (
 )
 FLUSH_PIECES = 200_000
 # Pieces that a worker keeps at hand; more are looked up again.
-KEPT_PIECES = 200_000
-CHUNK_BYTES = 4 << 20
+KEPT_PIECES = 100_000
+CHUNK_BYTES = 1 << 20
 # Pieces that the tokenizer holds at once; what it returns for each is large.
-ENCODED_PIECES = 10_000
+ENCODED_PIECES = 2_000
 
 
 class Splitter:
@@ -43,6 +43,7 @@ class Splitter:
 
     def open(self) -> "Splitter":
         if self.tokenizer is None:
+            shared.release_memory()
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
@@ -100,11 +101,12 @@ def _distinct(splitter: Splitter, buckets: int):
         splitter.open()
         held: set[str] = set()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(splitter.pieces(text or ""))
-                if len(held) >= FLUSH_PIECES:
-                    yield from flush(held)
-                    held = set()
+            for part in words.chunks(batch, size=CHUNK_BYTES):
+                for text in part.column("text").to_pylist():
+                    held.update(splitter.pieces(text or ""))
+                    if len(held) >= FLUSH_PIECES:
+                        yield from flush(held)
+                        held = set()
         if held:
             yield from flush(held)
 

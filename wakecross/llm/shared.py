@@ -1,13 +1,23 @@
 """Arrays in the cluster's shared folder: written by tasks, memory-mapped by workers."""
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 
 
+def release_memory() -> None:
+    """Gives back to the system what earlier tasks of a reused worker have freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _system(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri
