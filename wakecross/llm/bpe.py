@@ -43,7 +43,6 @@ class Splitter:
 
     def open(self) -> "Splitter":
         if self.tokenizer is None:
-            shared.release_memory()
             self.tokenizer = Tokenizer.from_file(self.path)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
@@ -163,6 +162,7 @@ def _encode_bucket(table: WordTable, splitter: Splitter, vocabulary):
     """Encodes one bucket's distinct pieces, each once, and joins their ids with the vocabulary."""
 
     def encode(key, group):
+        shared.release_memory()
         hashes, lengths, text = packed.gather(group, np.uint64, np.uint32, np.uint8)
         ends = np.cumsum(lengths.astype(np.int64))
         hashes, first = np.unique(hashes, return_index=True)
@@ -191,7 +191,7 @@ def word_table(texts: DataFrame, path: str) -> WordTable:
     shared.make_folder(folder)
     splitter, table = Splitter(path), WordTable(folder, buckets)
     vocabulary = spark.sparkContext.broadcast(byte_pieces(Tokenizer.from_file(path)))
-    dealt = texts.select("text").mapInArrow(_distinct(splitter, buckets), packed.schema(3))
+    dealt = texts.select("text").mapInArrow(shared.released(_distinct(splitter, buckets)), packed.schema(3))
     dealt.groupBy("bucket").applyInArrow(_encode_bucket(table, splitter, vocabulary), "words long").agg(F.sum("words")).collect()
     return table
 
@@ -245,7 +245,7 @@ def _digests(split: list[list[str]], ids: dict[str, str], out: dict[str, bytes])
 def _with(documents: DataFrame, path: str, keep: tuple, finish, added: str) -> DataFrame:
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
     table = word_table(frame.select(F.col("_text").alias("text")), path)
-    return frame.mapInArrow(_join_back(table, Splitter(path), finish), words.extended(frame, added))
+    return frame.mapInArrow(shared.released(_join_back(table, Splitter(path), finish)), words.extended(frame, added))
 
 
 def encode(documents: DataFrame, path: str, *keep: str) -> DataFrame:

@@ -14,7 +14,7 @@ from wakecross.sources.tables import shared_folder
 
 WINDOW = 10
 # Words of documents per index, and bytes of benchmark text searched at a time.
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_500_000
 BLOCK_BYTES = 8 << 20
 
 _FOUND = "n_words long, hits array<struct<start: long, end: long>>, items array<long>"
@@ -207,7 +207,7 @@ def contaminated_spans(
     """
     folder = store_benchmark(benchmark)
     frame = documents.select(*keep, F.col("text").alias("_text"))
-    return frame.mapInArrow(_scan(folder, window, shard_words), words.extended(frame, _FOUND))
+    return frame.mapInArrow(shared.released(_scan(folder, window, shard_words)), words.extended(frame, _FOUND))
 
 
 def digest(found: DataFrame) -> DataFrame:

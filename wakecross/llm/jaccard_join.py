@@ -105,7 +105,7 @@ def repeated_keys(texts: DataFrame, pick, k: int, buckets: int) -> packed.HashTa
     folder = shared_folder(texts.sparkSession)
     shared.make_folder(folder)
     table = packed.HashTable(folder, buckets, n=np.uint32)
-    dealt = texts.select("text").mapInArrow(_count_keys(pick, k, buckets), packed.schema(2))
+    dealt = texts.select("text").mapInArrow(shared.released(_count_keys(pick, k, buckets)), packed.schema(2))
     dealt.groupBy("bucket").applyInArrow(_store_repeated(table), "rows long").agg(F.sum("rows")).collect()
     return table
 
@@ -364,7 +364,7 @@ def _tiles(k: int, percent: int):
 
 def _tile_edges(tiles: DataFrame, k: int, percent: int) -> DataFrame:
     dealt = tiles.repartition("tile").sortWithinPartitions("tile")
-    return dealt.mapInArrow(_tiles(k, percent), "u long, v long")
+    return dealt.mapInArrow(shared.released(_tiles(k, percent)), "u long, v long")
 
 
 def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def near_duplicates(
     table = repeated_keys(texts, leading, shingle, buckets)
     sets = stored(
         texts.mapInArrow(
-            _describe(table, shingle, percent), "doc_id long, n long, key_1 long, key_2 long, text string"
+            shared.released(_describe(table, shingle, percent)), "doc_id long, n long, key_1 long, key_2 long, text string"
         )
     )
     known = sets.where("doc_id is not null")
@@ -456,7 +456,7 @@ def near_duplicates(
     buckets = packed.bucket_count(size // 6)
     table = repeated_keys(kept, lambda values, first: values, shingle, buckets)
     post, join = _family_edges(table, shingle, percent, buckets)
-    posted = stored(kept.mapInArrow(post, "bucket int, c0 binary, c1 binary, u long, v long"))
+    posted = stored(kept.mapInArrow(shared.released(post), "bucket int, c0 binary, c1 binary, u long, v long"))
     starred = posted.where("bucket is not null").groupBy("bucket").applyInArrow(join, "u long, v long")
     touching = posted.where("bucket is null").select("u", "v").union(starred)
     roots = components(touching)

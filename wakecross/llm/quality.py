@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakecross.llm import words
+from wakecross.llm import shared, words
 
 FOLDS = 3
 # Bounds of the samples that the model is fitted on: trusted positives, and documents whatever their label.
@@ -153,7 +153,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     chosen = trusted.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False)))
     # At most a fixed number of ids.
     sample = outside.join(F.broadcast(chosen), "doc_id").select("positive", "text")
-    rows = sample.mapInArrow(_featured, "positive boolean, x binary").toArrow()
+    rows = sample.mapInArrow(shared.released(_featured), "positive boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
     order = np.lexsort((x[:, -1], x[:, 3], x[:, -3])) if len(x) else np.zeros(0, int)
     positive = np.array(rows.column("positive").to_pylist(), bool)[order]
@@ -174,7 +174,7 @@ def score(documents: DataFrame, model: Model, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.columns, values], names=[*rest.schema.names, "score"])
 
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    return frame.mapInArrow(run, words.extended(frame, "score double"))
+    return frame.mapInArrow(shared.released(run), words.extended(frame, "score double"))
 
 
 def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -186,4 +186,4 @@ def keep(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 good = model.score(features(part.column("text")).astype(np.float64)) >= least
                 yield part.filter(pa.array(good))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(shared.released(run), documents.schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakecross.llm import words
+from wakecross.llm import shared, words
 
 # The three kinds, in their order, and their least lengths.
 KINDS = ("assign", "access", "hex")
@@ -268,7 +268,7 @@ def secrets(documents: DataFrame, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns.values()], names=[*rest.schema.names, *columns])
 
     frame = documents.select(*keep, F.col("text").cast("string").alias("_text"))
-    return frame.mapInArrow(find, words.extended(frame, added))
+    return frame.mapInArrow(shared.released(find), words.extended(frame, added))
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -280,7 +280,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, "text", _redacted(part.column("text").to_pylist(), mark))
 
-    changed = documents.mapInArrow(change, documents.schema)
+    changed = documents.mapInArrow(shared.released(change), documents.schema)
     if "n_chars" in documents.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return changed.select(*documents.columns)
