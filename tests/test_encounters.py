@@ -102,6 +102,11 @@ def test_hot_keys_lists_only_large_keys(spark):
     assert [tuple(r) for r in hot_keys(rows, ["k"], 100).collect()] == [(0, 400, 4)]
 
 
+def test_hot_keys_are_listed_whatever_their_share(spark):
+    rows = spark.range(3_000_000).select((F.col("id") / 3).cast("long").alias("k"))
+    assert hot_keys(rows, ["k"], 2).count() == 1_000_000
+
+
 # -- covers -------------------------------------------------------------------
 
 

@@ -20,8 +20,9 @@ def test_query_equals_sql(spark, connection, sf_dir, name):
     assert ours == theirs
 
 
-def test_only_the_sample_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"bounded_sample"}
+def test_line_heatmap_is_in_order(spark, sf_dir):
+    rows = [(-r["count"], r.ix) for r in QUERIES["line_heatmap"](spark, sf_dir).collect()]
+    assert rows == sorted(rows)
 
 
 def test_sample_repeats_itself(spark, sf_dir):

@@ -63,12 +63,13 @@ def measured_extent(bounds: DataFrame) -> DataFrame:
 def zoom_info(frame: DataFrame, geometry: Column, sample_rows: int | None = None) -> DataFrame:
     """Map centre and zoom (map_x, map_y, map_zoom) for a frame.
 
-    An empty frame yields the default centre. ``sample_rows`` bounds the rows
-    that are looked at.
+    An empty frame yields the default centre. ``sample_rows`` bounds the distinct
+    extents that are looked at; rows without a geometry are none of them.
     """
     rows = frame.select(geometry.alias("e"))
     if sample_rows is not None:
-        rows = bounded_sample(rows, "e", sample_rows)
+        known = rows.where(F.col("e.xmin").isNotNull()).distinct()
+        rows = bounded_sample(known, "e", sample_rows)
     measured = measured_extent(extent(rows, F.col("e")))
     known = F.col("xmin").isNotNull()
     x, y, zoom = DEFAULT_CENTRE

@@ -3,25 +3,21 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakecross.operators.joins import by_size
 from wakecross.sources.tables import stored
 
 # A key above this many rows is split.
 KEY_ROWS = 20_000
-# Bound on the number of keys that are split, and so on what is broadcast.
-MAX_HOT_KEYS = 500_000
 
 
 def hot_keys(rows: DataFrame, keys: list[str], key_rows: int = KEY_ROWS) -> DataFrame:
     """Keys with more than ``key_rows`` rows, their size and number of parts.
 
-    The sizes are counted with map-side combine. A key is listed only if it
-    also holds more than a MAX_HOT_KEYS-th of all rows. Fewer than MAX_HOT_KEYS
-    keys can do so, whatever the input: the result is safe to broadcast.
+    The sizes are counted with map-side combine. Every such key is listed,
+    however large the input, so the list itself can be long: join it ``by_size``.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.agg(F.sum("size")).scalar()
-    large = (F.col("size") > key_rows) & (F.col("size") * MAX_HOT_KEYS > total)
-    return sizes.where(large).withColumn("parts", F.ceil(F.col("size") / key_rows))
+    return sizes.where(F.col("size") > key_rows).withColumn("parts", F.ceil(F.col("size") / key_rows))
 
 
 def found_hot_keys(rows: DataFrame, keys: list[str], key_rows: int = KEY_ROWS) -> DataFrame | None:
@@ -47,7 +43,7 @@ def tile_hot_keys(rows: DataFrame, keys: list[str], row_id: str, key_rows: int =
     if hot is None:
         return rows.select("*", zero.alias("block"), zero.alias("other"), zero.alias("tile"))
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    blocks = rows.join(F.broadcast(hot.select(*keys, "parts")), keys, "left").select(
+    blocks = rows.join(by_size(hot.select(*keys, "parts")), keys, "left").select(
         *rows.columns, parts.alias("parts"), F.pmod(F.xxhash64(row_id), parts).alias("block"),
         F.explode(F.sequence(zero, parts - 1)).alias("other"),
     )

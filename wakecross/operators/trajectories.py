@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wakecross.functions import geometry as G
 from wakecross.functions.units import AREA_CAP, LINE_RADIUS, TRAJECTORY_WINDOW
 from wakecross.operators.hot_keys import found_hot_keys
+from wakecross.operators.joins import by_size
 from wakecross.sources.tables import stored
 
 # A trajectory above this many pings is handled in several parts.
@@ -42,7 +43,7 @@ def part_pings(
     whole = {"part": F.lit(0).cast("long"), "line_points": F.lit(None).cast("long")}
     if hot is None:
         return timed.withColumns(whole), None
-    sizes = F.broadcast(hot.select(*LINE, F.col("size").alias("line_points")))
+    sizes = by_size(hot.select(*LINE, F.col("size").alias("line_points")))
     order = [*LINE, "ts", "ping_id"]
     ordered = timed.join(sizes, LINE).repartitionByRange(*order).sortWithinPartitions(*order)
     # The id counts up within each range and leaves a gap between ranges.
@@ -125,8 +126,7 @@ def whole_line_measures(segments: DataFrame) -> DataFrame:
     merge = {"length": F.sum, "xmin": F.min, "ymin": F.min, "xmax": F.max, "ymax": F.max}
     parts = segments.where("is_cut").groupBy(*PART).agg(*[F.max(c).alias(c) for c in merge])
     lines = parts.groupBy(*LINE).agg(*[f(c).alias(f"line_{c}") for c, f in merge.items()])
-    # One row per cut line, and hot_keys bounds their number.
-    joined = segments.join(F.broadcast(lines), LINE, "left")
+    joined = segments.join(by_size(lines), LINE, "left")
     return joined.withColumns({c: F.coalesce(f"line_{c}", c) for c in merge}).drop(
         *[f"line_{c}" for c in merge]
     )

@@ -279,7 +279,8 @@ def line_pairs_shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = A.line_heatmap(_candidates(spark, sf_dir))
     lines = T.trajectories(fixture.pings(spark, sf_dir))
-    return _in_seconds(A.with_lines(cells, lines))
+    # The joins with the lines lose the order of the cells.
+    return _in_seconds(A.with_lines(cells, lines)).orderBy(F.desc("count"), "ix")
 
 
 def pairs_outside_harbours(spark: SparkSession, sf_dir: str) -> DataFrame:

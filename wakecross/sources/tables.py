@@ -1,5 +1,6 @@
 """Tables and views: overwrite, clustered overwrite, read, set-up."""
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,16 +20,21 @@ def ensure_schema(spark: SparkSession, name: str) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name for written tables, below the cluster's shared folder.
 
-    That is the session's ``spark.checkpoint.dir``; only where it is unset, as
-    in tests, a local temporary folder is used.
+    That is the session's ``spark.checkpoint.dir``. Only a session in one
+    process, as in tests, may leave it unset and gets a local temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wakecross-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
+        root = tempfile.mkdtemp(prefix="wakecross-")
     return f"{root.rstrip('/')}/wakecross-{uuid.uuid4().hex}"
 
 
 def overwrite_table(frame: DataFrame, name: str) -> None:
     """Replaces a table, its schema included."""
-    frame.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+    frame.write.mode("overwrite").saveAsTable(name)
 
 
 def overwrite_files(frame: DataFrame, path: str) -> None:
