@@ -47,7 +47,74 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p
+), grams AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+  FROM w, (VALUES (1), (2), (3)) AS sizes(k), LATERAL unnest(generate_series(1, len(ws) - k + 1)) AS g(i)
+), f AS (
+  SELECT lang, k, phrase, lang || chr(9) || phrase AS name, count(*) AS a FROM grams GROUP BY lang, k, phrase
+), n AS (
+  SELECT lang, cast(sum(a) AS bigint) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10
+), cuts AS (
+  SELECT lang, k, phrase, a, cut, lang || chr(9) || array_to_string(list_slice(ws, 1, cut), ' ') AS head,
+    lang || chr(9) || array_to_string(list_slice(ws, cut + 1, k), ' ') AS rest
+  FROM c, LATERAL unnest(generate_series(1, k - 1)) AS g(cut)
+), scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, cuts.a, x.a AS l, y.a AS r, cut,
+    cast((cast(1000000 AS hugeint) * cuts.a * cuts.a) // (cast(x.a AS hugeint) * y.a) AS bigint) AS score
+  FROM cuts JOIN f x ON x.name = head JOIN f y ON y.name = rest
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_pairs AS (
+  SELECT lang, array_to_string(list_slice(ws, i, i + 1), ' ') AS phrase, max(a) AS longest
+  FROM c, (VALUES (1), (2)) AS g(i) WHERE k = 3 GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inner_pairs USING (lang, phrase) WHERE k = 3 OR longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, cast(rank AS integer) AS rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), total AS (
+  SELECT count(*) AS docs, cast(sum(len(ts)) AS bigint) AS terms FROM d WHERE len(ts) > 0
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), q AS (
+  SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term
+), o AS (
+  SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM d
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM o WHERE term IN (SELECT term FROM q) GROUP BY doc_id, n, term
+), df AS (
+  SELECT term, cast(floor(1000 * ln((2 * docs + 2) / cast(2 * count(*) + 1 AS double))) AS bigint) AS w FROM tf, total GROUP BY term, docs
+), s AS (
+  SELECT item_id, doc_id, cast(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms)))) AS bigint) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), total GROUP BY item_id, doc_id
+)
+SELECT item_id, cast(rank AS integer) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 20
+"""
+
 ORACLES = {
     "op5_topk": OP5,
     "op6_decontamination": OP6,
+    "op11_collocations": OP11,
+    "op13_ball_tree": OP13,
 }

@@ -4,7 +4,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakecross.llm import bpe, decontamination, html_text, jaccard_join, language_model, passages, quality, secrets, topk, toxicity
+from wakecross.llm import (
+    ball_tree, bpe, collocations, decontamination, html_text, jaccard_join, language_id, language_model, passages, quality, secrets,
+    topk, toxicity,
+)
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -82,6 +85,23 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"), "page_id", "url")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that keep together in each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    documents = _table(spark, sf_dir, "documents").withColumn("held_out", language_model.held_out(language_id.FOLDS))
+    model = language_id.fit(documents)
+    return language_id.identify(documents, model, "doc_id", "held_out")
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that rank highest for every benchmark item."""
+    return ball_tree.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_passages": op1_passages,
     "op2_secrets": op2_secrets,
@@ -93,4 +113,7 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_language_id": op12_language_id,
+    "op13_ball_tree": op13_ball_tree,
 }

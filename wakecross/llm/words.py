@@ -130,6 +130,14 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(total + width.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)), start
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores more as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def extended(frame: DataFrame, added: str) -> StructType:
     """The frame's schema with its last column, the text, replaced by the added ones."""
     return StructType([*frame.schema.fields[:-1], *StructType.fromDDL(added).fields])
