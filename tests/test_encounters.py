@@ -162,11 +162,23 @@ def test_cut_lines_give_the_same_segments(spark, pings):
     assert capped[0] == capped[1] and len(capped[0]) < whole.count()
 
 
-def test_cut_lines_keep_all_points(spark, pings):
-    one = pings.withColumn("mmsi", F.lit(7))
-    cut = T.trajectories(one, part_rows=10)
-    assert cut.agg(F.sum(F.size("points"))).first()[0] == pings.count()
-    assert cut.where(F.size("points") < F.col("n_points")).count() > 1
+@pytest.mark.parametrize("part_rows", [1, 2, 5])
+def test_lines_do_not_depend_on_the_size_of_parts(spark, pings, part_rows):
+    hot = pings.withColumn("mmsi", F.when(F.col("ping_id") % 3 == 0, F.lit(7)).otherwise(F.col("mmsi")))
+
+    def lines(n):
+        rows = T.trajectories(hot, part_rows=n).collect()
+        return sorted((r.mmsi, r.window_start, r.window_end, r.n_points, r.points) for r in rows)
+
+    assert lines(part_rows) == lines(50_000) and max(x[3] for x in lines(50_000)) > 5
+    thin = [pairs_of(T.thinned(hot, 0.0005, part_rows=n), "ping_id") for n in (part_rows, 50_000)]
+    assert thin[0] == thin[1] and len(thin[0]) < hot.count()
+
+
+def test_only_named_lines_are_read(spark, pings):
+    some = pings.where("mmsi % 5 = 0").select("mmsi", F.window("ts", "15 minutes").start.alias("window_start")).distinct().limit(3)
+    lines = T.trajectories(pings, only=some)
+    assert lines.count() == 3 and pairs_of(lines, "mmsi", "window_start") == pairs_of(some, "mmsi", "window_start")
 
 
 def test_thinning_drops_points_on_the_chord(spark):
@@ -256,7 +268,7 @@ def test_lines_of_pairs(spark):
     assert (row.line_1, row.line_2) == ("LINESTRING(0.5 0.0,0.25 0.0)", "LINESTRING(1.0 0.0)")
     assert paths(pairs, lines).count() == 2
     cut = with_lines(pairs, T.trajectories(frame, part_rows=1)).first()
-    assert cut.line_1 is None and cut.line_2 is not None
+    assert (cut.line_1, cut.line_2) == (row.line_1, row.line_2)
 
 
 def test_sides_are_broadcast_by_their_counted_size(spark):

@@ -61,6 +61,37 @@ def point_box_far_d2(px: Column, py: Column, box) -> Column:
     return dx * dx + dy * dy
 
 
+def line_crossing(p, q) -> Column:
+    """Share of the way along p at which it crosses the line through q; NULL where they are parallel."""
+    turn = (p[2] - p[0]) * (q[3] - q[1]) - (p[3] - p[1]) * (q[2] - q[0])
+    return ((q[0] - p[0]) * (q[3] - q[1]) - (q[1] - p[1]) * (q[2] - q[0])) / F.nullif(turn, F.lit(0.0))
+
+
+def side_offset(segment, r: Column) -> tuple[Column, Column]:
+    """From a segment to the straight side of its buffer, at right angles; zero for a point."""
+    x1, y1, x2, y2 = segment
+    length = F.nullif(F.sqrt(points_d2(x1, y1, x2, y2)), F.lit(0.0))
+    return F.coalesce(r * (y1 - y2) / length, F.lit(0.0)), F.coalesce(r * (x2 - x1) / length, F.lit(0.0))
+
+
+def chord(at: Column, a1: Column, b1: Column, a2: Column, b2: Column, r: Column, na: Column, nb: Column):
+    """The stretch along axis a of a buffered segment where axis b has the value ``at``: its ends, NULL where there is none.
+
+    The segment runs from (a1, b1) to (a2, b2), and (na, nb) leads to its side. The buffer is bounded by two
+    circles and two sides, and is convex: the stretch reaches as far as any of the four.
+    """
+    tries = []
+    for a, b in ((a1, b1), (a2, b2)):
+        gap = r * r - (at - b) * (at - b)
+        half = F.when(gap >= 0, F.sqrt(gap))
+        tries.append((a - half, a + half))
+    for sign in (1.0, -1.0):
+        share = (at - b1 - sign * nb) / F.nullif(b2 - b1, F.lit(0.0))
+        side = F.when((share >= 0) & (share <= 1), a1 + sign * na + share * (a2 - a1))
+        tries.append((side, side))
+    return F.least(*[low for low, _ in tries]), F.greatest(*[high for _, high in tries])
+
+
 def buffer_area(length: Column, radius: Column, width: Column, height: Column, lat: Column) -> Column:
     """Upper bound in square metres of the area within ``radius`` of a line.
 

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakecross.functions import geometry as G
-from wakecross.functions.grid import cell_id, cell_side, column_index, row_index
+from wakecross.functions.grid import cell_id, cell_level, cell_parent, cell_side, column_index, row_index
+from wakecross.operators.joins import by_size
 from wakecross.operators.segments import with_box_distances
 
 # Room for rounding, in the search boxes only; exact tests decide.
@@ -49,6 +50,37 @@ def _with_cell(rows: DataFrame, level: int, near_d2: Column, far_d2: Column) ->
     )
 
 
+def compacted(cells: DataFrame, level: int, coarsest: int) -> DataFrame:
+    """The same area in fewer cells: four cells of one parent become the parent, up to level ``coarsest``.
+
+    ``cells.cell`` is of one level; the result holds each place once, in cells of several levels.
+    """
+    current, done = cells.select("cell").distinct(), None
+    for _ in range(level - coarsest):
+        parent = cell_parent(F.col("cell"))
+        counted = current.groupBy(parent.alias("parent")).agg(F.collect_list("cell").alias("cells"))
+        left = counted.where(F.size("cells") < 4).select(F.explode("cells").alias("cell"))
+        done = left if done is None else done.unionAll(left)
+        current = counted.where(F.size("cells") == 4).select(F.col("parent").alias("cell"))
+    return current if done is None else done.unionAll(current)
+
+
+def outside_compacted(rows: DataFrame, compact: DataFrame, column: str, level: int, coarsest: int) -> DataFrame:
+    """Rows whose cell of ``level`` lies in no cell of a compacted cover, whatever that cell's level.
+
+    A cell's ancestors are prefixes of its Z-order id, so each level is one
+    join on the shifted id; a level without cells needs none.
+    """
+    found = {r["level"] for r in compact.select(cell_level(F.col("cell")).alias("level")).distinct().collect()}
+    for up in range(level - coarsest + 1):
+        if level - up not in found:
+            continue
+        own = compact.where(cell_level(F.col("cell")) == level - up).select(F.col("cell").alias("_prefix"))
+        prefixed = rows.withColumn("_prefix", cell_parent(F.col(column), up) if up else F.col(column))
+        rows = prefixed.join(by_size(own), "_prefix", "left_anti").drop("_prefix")
+    return rows
+
+
 def disc_cover(discs: DataFrame, level: int) -> DataFrame:
     """Cells that the disc (lon, lat, r) touches; ``core`` where it holds all of a cell.
 

@@ -28,12 +28,20 @@ def outside_cells(candidates: DataFrame, cells: DataFrame, column: str) -> DataF
     return candidates.join(listed, column, "left_anti")
 
 
+def first_encounters(candidates: DataFrame) -> DataFrame:
+    """One row per pair of vessels, with the window and cell of its earliest candidate, the smallest cell of a window.
+
+    The minima are taken in two steps of fixed-width values, so that both are
+    hash aggregates; each combines rows before its shuffle.
+    """
+    windows = candidates.groupBy("vessel_1", "vessel_2", "window_start").agg(F.min("index").alias("index"))
+    earliest = F.min("window_start").alias("window_start")
+    return windows.groupBy("vessel_1", "vessel_2").agg(earliest, F.min_by("index", "window_start").alias("index"))
+
+
 def encounters_outside(candidates: DataFrame, cells: DataFrame) -> DataFrame:
-    """One row per pair of vessels that meets outside the cells.
+    """One row per pair of vessels that meets outside the cells, see ``first_encounters``.
 
-    It has the window and cell of the pair's earliest such candidate. Both are
-    aggregated before the shuffle on the pair.
+    Line encounters can leave out the cells themselves, before pairing.
     """
-    first = F.min(F.struct("window_start", "index"))
-    pairs = outside_cells(candidates, cells, "index").groupBy("vessel_1", "vessel_2").agg(first.alias("first"))
-    return pairs.select("vessel_1", "vessel_2", "first.window_start", "first.index")
+    return first_encounters(outside_cells(candidates, cells, "index"))

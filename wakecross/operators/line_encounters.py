@@ -4,11 +4,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakecross.functions.geometry import all_of
-from wakecross.functions.grid import cell_id, cell_side, column_index, row_index
+from wakecross.functions.grid import cell_column, cell_id, cell_level, cell_row, cell_side, column_index, row_index
 from wakecross.functions.units import LINE_LEVEL, PING_LEVEL
-from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box
+from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box, compacted, outside_compacted
 from wakecross.operators.hot_keys import KEY_ROWS, same_tile, tile_hot_keys
-from wakecross.operators.segments import meeting, with_box_distances
+from wakecross.operators.joins import by_size
+from wakecross.operators.segments import meet_in_box, meeting
+from wakecross.sources.tables import stored
 
 # Long segments are keyed in pieces of at most this many cells a side.
 PIECE_CELLS = 4
@@ -40,28 +42,29 @@ def segment_keys(buffered: DataFrame, level: int) -> DataFrame:
     return box_keys(boxed, level, *(F.col(c) for c in BOX))
 
 
-def _overlapping(low_a: Column, high_a: Column, low_b: Column, high_b: Column, room: float) -> Column:
-    return (low_a - room <= high_b) & (low_b - room <= high_a)
+def _overlapping(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+    return (low_a <= high_b) & (low_b <= high_a)
 
 
-def _shared_cells(met: DataFrame, level: int) -> DataFrame:
-    """One row per cell of ``level`` that both buffered segments of a pair touch."""
+def _shared_cells(met: DataFrame, level: int, emit_level: int) -> DataFrame:
+    """One row per cell of ``emit_level`` within the key cell (ix, iy) in which the buffers of a pair meet."""
 
-    def range_of(low, high):
+    def within(key: str, low: Column, high: Column) -> Column:
+        if emit_level < level:
+            cell = F.shiftright(key, level - emit_level)
+            return F.array(cell)
+        first = F.shiftleft(key, emit_level - level)
+        low, high = F.greatest(low, first), F.least(high, first + ((1 << (emit_level - level)) - 1))
         return F.when(low <= high, F.sequence(low, high))
 
-    south = row_index(F.greatest("south_1", "south_2"), level)
-    north = row_index(F.least("north_1", "north_2"), level)
-    west = column_index(F.greatest("west_1", "west_2"), level)
-    east = column_index(F.least("east_1", "east_2"), level)
-    cells = met.withColumn("iy", F.explode(range_of(south, north))).withColumn(
-        "ix", F.explode(range_of(west, east))
-    )
-    for side in ("1", "2"):
-        segment = tuple(F.col(f"{c}_{side}") for c in SEGMENT)
-        near = with_box_distances(cells, segment, cell_box(level))
-        cells = near.where(F.col("near_d2") <= F.col(f"r_{side}") * F.col(f"r_{side}")).drop("near_d2", "far_d2")
-    return cells
+    south = row_index(F.greatest("south_1", "south_2"), emit_level)
+    north = row_index(F.least("north_1", "north_2"), emit_level)
+    west = column_index(F.greatest("west_1", "west_2"), emit_level)
+    east = column_index(F.least("east_1", "east_2"), emit_level)
+    rows = met.select(*[c for c in met.columns if c != "iy"], F.explode(within("iy", south, north)).alias("iy"))
+    cells = rows.select(*[c for c in rows.columns if c != "ix"], F.explode(within("ix", west, east)).alias("ix"))
+    p, q = (tuple(F.col(f"{c}_{n}") for c in SEGMENT) for n in ("1", "2"))
+    return meet_in_box(cells, p, q, F.col("r_1"), F.col("r_2"), cell_box(emit_level))
 
 
 def line_encounters(
@@ -70,32 +73,40 @@ def line_encounters(
     emit: str = "shared",
     emit_level: int = PING_LEVEL,
     key_rows: int = KEY_ROWS,
+    outside: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs of vessels whose buffered lines of one window meet.
 
     ``buffered`` comes from ``buffered_segments``. ``emit="point"`` yields
     (vessel_1, vessel_2, window_start, window_end) once each. ``emit="shared"``
-    adds ``index``, the cells of ``emit_level`` that two meeting segments both
-    touch; both need not touch the same place in the cell.
-
-    Segments are joined on coarse cell and window, each pair is tested once,
-    and rows are made distinct before and after the last shuffle.
+    adds ``index``, the cells of ``emit_level`` in which both buffered lines
+    have a point in common.
+
+    Segments are joined on coarse cell and window. In point mode a pair is tested
+    once; in shared mode each coarse cell yields the small cells in it. Rows are made
+    distinct before and after the last shuffle. ``outside`` is a frame of cells
+    (of ``emit_level``, shared mode only) to leave out: full coarse cells among
+    them are dropped before pairing, the others from the pairs' cells.
     """
     if emit not in ("point", "shared"):
         raise ValueError(f"unknown emit: {emit}")
-    # Two segments can share a small cell without overlapping boxes.
-    room = cell_side(emit_level) if emit == "shared" else 0.0
-    tiled = tile_hot_keys(
-        segment_keys(buffered, level), ["ix", "iy", "window_start"], "ping_id", key_rows
-    )
-    once = FIRST_X + FIRST_Y
+    keyed = segment_keys(buffered, level)
+    if outside is not None:
+        if emit != "shared" or emit_level < level:
+            raise ValueError("cells can be left out in shared mode only, and of a finer level than the join's")
+        compact = stored(compacted(outside, emit_level, level))
+        whole = compact.where(cell_level(F.col("cell")) == level)
+        coarse = whole.select(cell_column(F.col("cell")).alias("ix"), cell_row(F.col("cell")).alias("iy"))
+        keyed = keyed.join(by_size(coarse), ["ix", "iy"], "left_anti")
+    tiled = tile_hot_keys(keyed, ["ix", "iy", "window_start"], "ping_id", key_rows)
+    once = FIRST_X + FIRST_Y if emit == "point" else 0
     tests = [
         *[F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("ix", "iy", "window_start", "tile")],
         F.col("a.first").bitwiseOR(F.col("b.first")).bitwiseAND(once) == once,
         same_tile(),
         F.col("a.mmsi") < F.col("b.mmsi"),
-        _overlapping(F.col("a.west"), F.col("a.east"), F.col("b.west"), F.col("b.east"), room),
-        _overlapping(F.col("a.south"), F.col("a.north"), F.col("b.south"), F.col("b.north"), room),
+        _overlapping(F.col("a.west"), F.col("a.east"), F.col("b.west"), F.col("b.east")),
+        _overlapping(F.col("a.south"), F.col("a.north"), F.col("b.south"), F.col("b.north")),
     ]
     carried = [*SEGMENT, "r", *(BOX if emit == "shared" else ())]
     near = tiled.alias("a").join(tiled.alias("b").hint("merge"), all_of(tests)).select(
@@ -104,11 +115,15 @@ def line_encounters(
         F.col("a.window_start").alias("window_start"),
         F.col("a.window_end").alias("window_end"),
         *[F.col(f"{side}.{c}").alias(f"{c}_{n}") for side, n in (("a", "1"), ("b", "2")) for c in carried],
+        *([F.col("a.ix").alias("ix"), F.col("a.iy").alias("iy")] if emit == "shared" else ()),
     )
     p, q = (tuple(F.col(f"{c}_{n}") for c in SEGMENT) for n in ("1", "2"))
-    met = meeting(near, p, q, F.col("r_1") + F.col("r_2"))
+    met = meeting(near, p, q, F.col("r_1"), F.col("r_2"))
     keys = ["vessel_1", "vessel_2", "window_start", "window_end"]
     if emit == "point":
         return met.select(*keys).distinct()
-    cells = _shared_cells(met, emit_level)
-    return cells.select(*keys, cell_id(F.col("ix"), F.col("iy"), emit_level).alias("index")).distinct()
+    cells = _shared_cells(met, level, emit_level)
+    found = cells.select(*keys, cell_id(F.col("ix"), F.col("iy"), emit_level).alias("index"))
+    if outside is not None:
+        found = outside_compacted(found, compact, "index", emit_level, level)
+    return found.distinct()

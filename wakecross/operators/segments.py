@@ -1,5 +1,7 @@
 """Distances of segments to each other and to boxes, for whole frames."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,18 +13,64 @@ def _ends(segment):
     return [(segment[0], segment[1]), (segment[2], segment[3])]
 
 
-def meeting(pairs: DataFrame, p, q, reach: Column) -> DataFrame:
-    """Rows whose segments p and q are at most ``reach`` apart.
+def meeting(pairs: DataFrame, p, q, r_p: Column, r_q: Column) -> DataFrame:
+    """Rows whose segments p and q, buffered by r_p and r_q, meet, with a point (meet_x, meet_y) of both buffers.
 
-    Segments that do not cross are nearest at an end of one of them.
+    Segments that do not cross are nearest at an end of one of them. The point
+    parts the way between the nearest points in the ratio of the radii.
     """
     columns = pairs.columns
     tries = [(x, y, q) for x, y in _ends(p)] + [(x, y, p) for x, y in _ends(q)]
     feet = {f"at{k}_": G.foot(x, y, segment) for k, (x, y, segment) in enumerate(tries)}
     stepped = let(pairs, **feet)
-    distances = [G.foot_d2(x, y, s, F.col(f"at{k}_")) for k, (x, y, s) in enumerate(tries)]
-    near = F.least(*distances) <= reach * reach
-    return stepped.where(near | G.segments_cross(p, q)).select(*columns)
+    distances = {f"d{k}_": G.foot_d2(x, y, s, F.col(f"at{k}_")) for k, (x, y, s) in enumerate(tries)}
+    stepped = let(stepped, crossing_=G.segments_cross(p, q), **distances)
+    nearest, reach = F.least(*distances), r_p + r_q
+    met = stepped.where((nearest <= reach * reach) | F.col("crossing_"))
+    # Toward the segment that has the foot, by the share of the other one's radius.
+    meet = []
+    for axis in (0, 1):
+        crossed = p[axis] + G.line_crossing(p, q) * (p[axis + 2] - p[axis])
+        value = None
+        for k, (x, y, segment) in reversed(list(enumerate(tries))):
+            end, own = (x, y)[axis], r_p if k < 2 else r_q
+            foot = segment[axis] + F.col(f"at{k}_") * (segment[axis + 2] - segment[axis])
+            between = end + (foot - end) * own / reach
+            value = between if value is None else F.when(F.col(f"d{k}_") == nearest, between).otherwise(value)
+        meet.append(F.when(F.col("crossing_"), F.coalesce(crossed, value)).otherwise(value))
+    return let(met, meet_x=meet[0], meet_y=meet[1]).select(*columns, "meet_x", "meet_y")
+
+
+def meet_in_box(met: DataFrame, p, q, r_p: Column, r_q: Column, box) -> DataFrame:
+    """Rows of ``meeting`` in which the buffers of p and q and a box have a point in common.
+
+    Both buffers are convex, and so is what they share. If it reaches into the box, it lies there whole, and
+    then so does the known point, or it passes an edge of the box: on that edge the stretches of both buffers overlap.
+    """
+    columns = met.columns
+    sides = {"p": (p, r_p), "q": (q, r_q)}
+    offsets = {n: G.side_offset(s, r) for n, (s, r) in sides.items()}
+    stepped = let(
+        met, **{f"n{axis}_{n}": offsets[n][k] for n in sides for k, axis in enumerate("xy")},
+        west_=box[0], south_=box[1], east_=box[2], north_=box[3],
+    )
+    along = {"south_": ("x", "west_", "east_"), "north_": ("x", "west_", "east_"), "west_": ("y", "south_", "north_"), "east_": ("y", "south_", "north_")}
+    chords = {}
+    for edge, (axis, _, _) in along.items():
+        a, b = (0, 1) if axis == "x" else (1, 0)
+        for n, (s, r) in sides.items():
+            normal = [F.col(f"n{'xy'[k]}_{n}") for k in (a, b)]
+            low, high = G.chord(F.col(edge), s[a], s[b], s[a + 2], s[b + 2], r, *normal)
+            chords |= {f"{edge}low_{n}": low, f"{edge}high_{n}": high}
+    stepped = let(stepped, **chords)
+    x, y = F.col("meet_x"), F.col("meet_y")
+    inside = (x >= F.col("west_")) & (x <= F.col("east_")) & (y >= F.col("south_")) & (y <= F.col("north_"))
+    tests = [inside]
+    for edge, (_, low, high) in along.items():
+        touched = F.col(f"{edge}low_p").isNotNull() & F.col(f"{edge}low_q").isNotNull()
+        starts, ends = F.greatest(f"{edge}low_p", f"{edge}low_q", low), F.least(f"{edge}high_p", f"{edge}high_q", high)
+        tests.append(touched & (starts <= ends))
+    return stepped.where(reduce(lambda left, right: left | right, tests)).select(*columns)
 
 
 def with_box_distances(rows: DataFrame, segment, box) -> DataFrame:

@@ -18,30 +18,38 @@ def busiest(heatmap: DataFrame, rows: int = 100) -> DataFrame:
     return heatmap.orderBy(F.desc("count"), *others).limit(rows)
 
 
-def line_heatmap(candidates: DataFrame, below: float | None = 100.0) -> DataFrame:
+def line_heatmap(candidates: DataFrame, below: float | None = None) -> DataFrame:
     """Line encounters per cell, with the first pair and window as an example.
 
-    Cells at or above the limit are left out before sorting.
+    Cells with ``below`` encounters or more are left out before sorting. The
+    first row is found in steps of fixed-width values, all of them hash aggregates.
     """
-    first = F.min(F.struct("window_start", "vessel_1", "vessel_2"))
-    cells = candidates.groupBy(F.col("index").alias("ix")).agg(
-        F.count(F.lit(1)).alias("count"), first.alias("first")
+    one = F.count(F.lit(1)).alias("count")
+    firsts = candidates.groupBy(F.col("index").alias("ix"), "window_start", "vessel_1").agg(one, F.min("vessel_2").alias("vessel_2"))
+    windows = firsts.groupBy("ix", "window_start").agg(
+        F.sum("count").alias("count"), F.min_by("vessel_2", "vessel_1").alias("vessel_2"), F.min("vessel_1").alias("vessel_1")
+    )
+    cells = windows.groupBy("ix").agg(
+        F.sum("count").alias("count"), F.min_by("vessel_1", "window_start").alias("vessel_1"),
+        F.min_by("vessel_2", "window_start").alias("vessel_2"), F.min("window_start").alias("window_start"),
     )
     if below is not None:
         cells = cells.where(F.col("count") < below)
-    flat = cells.select("ix", "count", "first.vessel_1", "first.vessel_2", "first.window_start")
-    return flat.orderBy(F.desc("count"), "ix")
+    return cells.orderBy(F.desc("count"), "ix")
+
+
+def named_lines(pairs: DataFrame) -> DataFrame:
+    """Vessel and window of every line that takes part in ``pairs``, to read only these."""
+    return pairs.select(F.explode(F.array("vessel_1", "vessel_2")).alias("mmsi"), "window_start").distinct()
 
 
 def with_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds line_1 and line_2, the WKT of both vessels' lines in the row's window.
 
-    ``lines`` comes from ``trajectories``. A line cut into parts is no single
-    value: its text is NULL here, and ``paths`` has all its parts.
+    ``lines`` comes from ``trajectories``. The joins lose the order of ``pairs``.
     """
-    whole = lines.where(F.size("points") == F.col("n_points"))
     for side in ("1", "2"):
-        line = whole.select(
+        line = lines.select(
             F.col("mmsi").alias(f"vessel_{side}"), "window_start", F.col("points").alias(f"points_{side}")
         )
         pairs = pairs.join(line, [f"vessel_{side}", "window_start"], "left")
@@ -50,7 +58,6 @@ def with_lines(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def paths(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The WKT of every part of each line that takes part in ``pairs``, for a map."""
-    used = pairs.select(F.explode(F.array("vessel_1", "vessel_2")).alias("mmsi"), "window_start").distinct()
-    drawn = lines.join(used, ["mmsi", "window_start"], "left_semi")
-    return drawn.select("mmsi", "window_start", "part", line_text(F.col("points")).alias("line"))
+    """The WKT of each line that takes part in ``pairs``, for a map."""
+    drawn = lines.join(named_lines(pairs), ["mmsi", "window_start"], "left_semi")
+    return drawn.select("mmsi", "window_start", line_text(F.col("points")).alias("line"))

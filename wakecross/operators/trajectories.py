@@ -28,7 +28,7 @@ def window_pings(pings: DataFrame, length: str = TRAJECTORY_WINDOW) -> DataFrame
 
 
 def part_pings(
-    pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS
+    pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS, only: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
     """Windowed pings with the part of their line, and those of cut lines alone.
 
@@ -39,6 +39,8 @@ def part_pings(
     stored, since a part is a stretch of that order.
     """
     timed = window_pings(pings, length)
+    if only is not None:
+        timed = timed.join(by_size(only.select(*LINE)), LINE, "left_semi")
     hot = found_hot_keys(timed, LINE, part_rows)
     whole = {"part": F.lit(0).cast("long"), "line_points": F.lit(None).cast("long")}
     if hot is None:
@@ -52,29 +54,50 @@ def part_pings(
     return timed.join(sizes, LINE, "left_anti").withColumns(whole).unionByName(cut), cut
 
 
-def trajectories(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
-    """One row per vessel, window and part, with the array of its points in time order.
+def _collected(parted: DataFrame, *keys: str) -> DataFrame:
+    """The points of each group in time order; equal timestamps are ordered by ping id."""
+    points = F.array_sort(F.collect_list(F.struct("ts", "ping_id", "lon", "lat"))).alias("points")
+    return parted.groupBy(*keys, "window_end").agg(points)
 
-    Equal timestamps are ordered by ping id. Lines above ``part_rows`` pings
-    come in several rows, numbered by ``part``.
+
+def trajectories(
+    pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS, only: DataFrame | None = None
+) -> DataFrame:
+    """One row per vessel and window, with the array of its points in time order.
+
+    A line above ``part_rows`` pings is sorted in parts, and the parts' arrays
+    are put together in their order. As one value, a line must stay below 2 GB of points;
+    segments know no such limit. ``only`` names the lines to read, as
+    rows of mmsi and window_start; other pings are dropped first.
     """
-    point = F.struct("ts", "ping_id", "lon", "lat")
-    parted, _ = part_pings(pings, length, part_rows)
-    return (
-        parted.groupBy(*PART, "window_end")
-        .agg(F.array_sort(F.collect_list(point)).alias("points"), F.max("line_points").alias("line_points"))
-        .withColumn("n_points", F.coalesce("line_points", F.size("points").cast("long")))
-        .drop("line_points")
-    )
+    parted, cut = part_pings(pings, length, part_rows, only)
+    lines = _collected(parted.where("line_points IS NULL"), *LINE)
+    if cut is not None:
+        ordered = F.array_sort(F.collect_list(F.struct("part", "points"))).alias("parts")
+        joined = _collected(cut, *PART).groupBy(*LINE, "window_end").agg(ordered)
+        lines = lines.unionByName(joined.select(*LINE, "window_end", F.flatten("parts.points").alias("points")))
+    return lines.withColumn("n_points", F.size("points").cast("long"))
 
 
-def _next_part_points(cut: DataFrame) -> DataFrame:
-    """For each part of a cut line, the first point of the part that follows."""
-    firsts = cut.groupBy(*PART).agg(
-        F.min_by(F.struct("lon", "lat"), F.struct("ts", "ping_id")).alias("next_part")
-    )
-    before = F.lag("part").over(Window.partitionBy(*LINE).orderBy("part"))
-    return firsts.select(*LINE, before.alias("part"), "next_part").where(F.col("part").isNotNull())
+def _part_ends(cut: DataFrame) -> DataFrame:
+    """For each part of a cut line, the last point before it and the first point after it."""
+    at, point = F.struct("ts", "ping_id"), F.struct("lon", "lat")
+    ends = cut.groupBy(*PART).agg(F.min_by(point, at).alias("first"), F.max_by(point, at).alias("last"))
+    along = Window.partitionBy(*LINE).orderBy("part")
+    return ends.select(*PART, F.lag("last").over(along).alias("part_before"), F.lead("first").over(along).alias("part_after"))
+
+
+def _with_neighbours(parted: DataFrame, cut: DataFrame | None) -> DataFrame:
+    """Adds before and after, the neighbouring points of each ping on its line, also over the ends of parts."""
+    along = Window.partitionBy(*PART).orderBy("ts", "ping_id")
+    point = F.struct("lon", "lat")
+    stepped = parted.withColumns({"before": F.lag(point).over(along), "after": F.lead(point).over(along)})
+    if cut is None:
+        return stepped
+    joined = stepped.join(by_size(_part_ends(cut)), PART, "left")
+    return joined.withColumns(
+        {"before": F.coalesce("before", "part_before"), "after": F.coalesce("after", "part_after")}
+    ).drop("part_before", "part_after")
 
 
 def trajectory_segments(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
@@ -85,20 +108,10 @@ def trajectory_segments(pings: DataFrame, length: str = TRAJECTORY_WINDOW, part_
     shuffle serves all window functions; the parts of a cut line are stitched.
     """
     parted, cut = part_pings(pings, length, part_rows)
-    along = Window.partitionBy(*PART).orderBy("ts", "ping_id")
     whole = Window.partitionBy(*PART)
-    stepped = parted.withColumns(
-        {
-            "following": F.lead(F.struct("lon", "lat")).over(along),
-            "part_points": F.count(F.lit(1)).over(whole),
-        }
-    )
+    stepped = _with_neighbours(parted.withColumn("part_points", F.count(F.lit(1)).over(whole)), cut)
     n_points = F.coalesce("line_points", "part_points")
-    ends = [F.col("following"), F.when(n_points == 1, F.struct("lon", "lat"))]
-    if cut is not None:
-        stepped = stepped.join(_next_part_points(cut), PART, "left")
-        ends.insert(1, F.col("next_part"))
-    end = F.coalesce(*ends)
+    end = F.coalesce("after", F.when(n_points == 1, F.struct("lon", "lat")))
     segments = stepped.select(
         *PART, "window_end", "ping_id", n_points.alias("n_points"),
         F.col("line_points").isNotNull().alias("is_cut"),
@@ -166,16 +179,11 @@ def buffered_segments(
 def thinned(pings: DataFrame, tolerance: float, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:
     """Pings without inner points nearer than ``tolerance`` to the chord of their neighbours.
 
-    The ends of a line, and of a part of a cut line, stay.
+    The ends of a line stay.
     """
-    along = Window.partitionBy(*PART).orderBy("ts", "ping_id")
-    near = F.struct("lon", "lat")
-    parted, _ = part_pings(pings, length, part_rows)
-    around = parted.withColumns(
-        {"before": F.lag(near).over(along), "after": F.lead(near).over(along)}
-    )
+    around = _with_neighbours(*part_pings(pings, length, part_rows))
     chord = (F.col("before.lon"), F.col("before.lat"), F.col("after.lon"), F.col("after.lat"))
     at = G.foot(F.col("lon"), F.col("lat"), chord)
     off = G.foot_d2(F.col("lon"), F.col("lat"), chord, at)
     inner = F.col("before").isNotNull() & F.col("after").isNotNull()
-    return around.where(~(inner & (off < tolerance * tolerance))).drop("before", "after", "line_points")
+    return around.where(~(inner & (off < tolerance * tolerance))).drop("before", "after", "line_points", "part")

@@ -32,6 +32,7 @@ NEAR_SECONDS = 600
 LARGE_ORDER = 200_000
 TOLERANCE = 0.0005
 SMALL_AREA = 4e6
+HEATMAP_BELOW = 100.0
 
 
 def seconds(column: str):
@@ -276,23 +277,55 @@ def line_pairs_shared_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_seconds(_candidates(spark, sf_dir).drop("window_end"))
 
 
+def _named(spark: SparkSession, sf_dir: str, pairs: DataFrame) -> DataFrame:
+    """The lines that pairs name, and no others."""
+    return T.trajectories(fixture.pings(spark, sf_dir), only=A.named_lines(pairs))
+
+
 def line_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = A.line_heatmap(_candidates(spark, sf_dir))
-    lines = T.trajectories(fixture.pings(spark, sf_dir))
+    cells = tables.stored(A.line_heatmap(_candidates(spark, sf_dir), HEATMAP_BELOW))
     # The joins with the lines lose the order of the cells.
-    return _in_seconds(A.with_lines(cells, lines)).orderBy(F.desc("count"), "ix")
+    return _in_seconds(A.with_lines(cells, _named(spark, sf_dir, cells))).orderBy(F.desc("count"), "ix")
 
 
-def pairs_outside_harbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line encounters away from harbours, whose cells are left out before pairing."""
     cells = H.harbour_cells(fixture.harbours(spark, sf_dir), None)
-    return _in_seconds(H.encounters_outside(_candidates(spark, sf_dir), cells))
+    return line_encounters(T.buffered_segments(fixture.pings(spark, sf_dir)), outside=cells)
+
+
+def line_cells_outside_harbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _in_seconds(_outside(spark, sf_dir).drop("window_end"))
+
+
+def pairs_outside_harbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per pair of vessels that meets outside harbours, with both lines."""
+    pairs = tables.stored(H.first_encounters(_outside(spark, sf_dir)))
+    return _in_seconds(A.with_lines(pairs, _named(spark, sf_dir, pairs)))
 
 
 def paths_outside_harbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines behind the pairs that meet outside harbours, as map rows."""
-    cells = H.harbour_cells(fixture.harbours(spark, sf_dir), None)
-    pairs = tables.stored(H.encounters_outside(_candidates(spark, sf_dir), cells))
-    return _in_seconds(A.paths(pairs, T.trajectories(fixture.pings(spark, sf_dir))))
+    pairs = tables.stored(H.first_encounters(_outside(spark, sf_dir)))
+    return _in_seconds(A.paths(pairs, _named(spark, sf_dir, pairs)))
+
+
+def line_heatmap_sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line encounters per cell by SQL over views, the busiest cells first."""
+    _candidates(spark, sf_dir).createOrReplaceTempView("line_candidates")
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY VIEW cell_encounters AS "
+        "SELECT index AS ix, count(*) AS count, count(DISTINCT vessel_1, vessel_2) AS pairs FROM line_candidates GROUP BY index"
+    )
+    return spark.sql("SELECT ix, count, pairs FROM cell_encounters ORDER BY count DESC, ix LIMIT 100")
+
+
+def cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole lines and thinned points where every line of more than three pings is handled in parts."""
+    pings = fixture.pings(spark, sf_dir)
+    kept = T.thinned(pings, TOLERANCE, part_rows=3).groupBy("mmsi", "window_start").agg(F.count(F.lit(1)).alias("kept"))
+    lines = T.trajectories(pings, part_rows=3).select("mmsi", "window_start", "n_points", line_text(F.col("points")).alias("line"))
+    return _in_seconds(lines.join(kept, ["mmsi", "window_start"], "left"))
 
 
 # -- extent, samples, layers --------------------------------------------------
@@ -375,8 +408,8 @@ QUERIES: dict[str, Query] = {
         cell_bounds_text, disc_cover_cells, capsule_cover_cells, harbour_cells, ping_pairs_reference_window,
         ping_pairs_corrected_window, ping_pairs_shared_cells, ping_pairs_outside_harbours, encounter_heatmap,
         encounter_topk, heatmap_sql_view, tumbling_lines, line_segments, line_buffer_radius, line_area_cap,
-        thinned_lines, line_pairs, line_pairs_shared_cells, line_heatmap, pairs_outside_harbours,
-        paths_outside_harbours, bbox, extent_measures, vessel_zoom, zoom_info, wkt_extents, bounded_sample,
+        thinned_lines, cut_lines, line_pairs, line_pairs_shared_cells, line_heatmap, line_heatmap_sql_view,
+        line_cells_outside_harbours, pairs_outside_harbours, paths_outside_harbours, bbox, extent_measures, vessel_zoom, zoom_info, wkt_extents, bounded_sample,
         distinct_limit, formatted_count, layer_rows, layer_centre,
     )
 }
