@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from wakecross.functions import grid
 from wakecross.functions.motion import half_window, time_window
-from wakecross.functions.scale import ZOOM_METRES, meridian_metres, parallel_metres, zoom_level
+from wakecross.functions.scale import ZOOM_METRES, geodesic_metres, meridian_metres, zoom_level
 from wakecross.functions.text import binary_srid, geojson_extent, point_wkb, wkt_extent
 from wakecross.operators.discs import discs_meet_in_box
+from wakecross.operators.extent import point_extent, zoom_info
 from wakecross.operators.layers import enable_geometry
 from wakecross.operators.segments import meeting, with_box_distances
 
@@ -63,7 +64,7 @@ def test_meeting_segments_against_dense_points(spark):
     names = [f"{c}{k}" for k in "pq" for c in SEGMENT]
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id INT, " + ", ".join(f"{n} DOUBLE" for n in names))
     for reach in (0.05, 0.3):
-        met = {r.id for r in meeting(frame, columns(names[:4]), columns(names[4:]), F.lit(reach)).collect()}
+        met = {r.id for r in meeting(frame, columns(names[:4]), columns(names[4:]), F.lit(reach) / 2, F.lit(reach) / 2).collect()}
         for k, r in enumerate(rows):
             p, q = _along(*r[:4], 201), _along(*r[4:], 201)
             nearest = np.sqrt(((p[:, None] - q[None]) ** 2).sum(-1)).min()
@@ -90,7 +91,7 @@ def test_meeting_edge_cases(spark, p, q, distance):
     for reach, expected in ((float(distance), 1), (distance - 1e-9, 0)):
         if reach < 0:
             continue
-        assert meeting(frame, columns(names[:4]), columns(names[4:]), F.lit(reach)).count() == expected
+        assert meeting(frame, columns(names[:4]), columns(names[4:]), F.lit(reach) / 2, F.lit(reach) / 2).count() == expected
 
 
 def test_box_distances_against_dense_points(spark):
@@ -167,11 +168,38 @@ def test_half_windows_bound_the_window(spark, mode):
 
 def test_golden_extent_sizes(spark):
     row = spark.range(1).select(
-        parallel_metres(F.lit(-100.5), F.lit(-100.25), F.lit(50.05)).alias("w"),
+        geodesic_metres(F.lit(-100.5), F.lit(50.05), F.lit(-100.25), F.lit(50.05)).alias("w"),
         meridian_metres(F.lit(50.05), F.lit(50.5)).alias("h"),
     ).first()
     assert row.h == pytest.approx(50055.461463, abs=1e-5)
-    assert row.w == pytest.approx(17905.334, abs=0.02)
+    assert row.w == pytest.approx(17905.334, abs=1e-3)
+
+
+@pytest.mark.parametrize(
+    "ends, metres, within",
+    [
+        ((0.0, 0.0, 90.0, 0.0), 10_018_754.171, 1e-3),  # a quarter of the equator
+        ((7.0, 0.0, 7.0, 90.0), 10_001_965.729, 1e-3),  # a quarter of a meridian
+        ((-73.8, 40.6, -0.5, 51.6), 5_551_759.400, 1e-3),  # a published example
+        ((10.0, -20.0, 10.0, -20.0), 0.0, 0.0),
+        ((-180.0, 10.0, 180.0, 10.0), 0.0, 1e-6),  # one point, written in two ways
+        ((170.0, 5.0, -170.0, 5.0), 2_217_671.0, 3_000.0),  # over the antimeridian
+        ((0.0, 0.0, 180.0, 0.0), 20_003_931.459, 1e-3),  # opposite points: over a pole
+        ((0.0, 0.5, 179.7, 0.0), 19_944_127.0, 40_000.0),  # nearly opposite: the bound over a pole
+    ],
+)
+def test_geodesics(spark, ends, metres, within):
+    there, back = spark.range(1).select(
+        geodesic_metres(*map(F.lit, ends)), geodesic_metres(*map(F.lit, ends[2:] + ends[:2]))
+    ).first()
+    assert there == pytest.approx(metres, abs=within + 1e-9) and back == pytest.approx(there, abs=1e-6)
+
+
+def test_wide_extents_get_the_zoom_of_the_geodesic(spark):
+    rows = spark.createDataFrame([(-170.0, 18.0), (-65.0, 18.5)], "lon DOUBLE, lat DOUBLE")
+    assert zoom_info(rows, point_extent()).first().map_zoom == 2
+    none = spark.range(1).select(geodesic_metres(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))).first()
+    assert none[0] is None
 
 
 def test_zoom_limits_are_exclusive(spark):

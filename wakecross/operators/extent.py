@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakecross.functions.grid import cell_bounds
-from wakecross.functions.scale import meridian_metres, parallel_metres, zoom_level
+from wakecross.functions.scale import geodesic_metres, meridian_metres, zoom_level
 from wakecross.functions.text import geojson_extent, point_text, wkt_extent
 from wakecross.operators.sampling import bounded_sample
+from wakecross.operators.steps import let
 
 # Centre and zoom where there is nothing to show.
 DEFAULT_CENTRE = (0.0, 0.0, 3)
@@ -43,7 +44,8 @@ def point_extent(lon: str = "lon", lat: str = "lat") -> Column:
 def measured_extent(bounds: DataFrame) -> DataFrame:
     """Adds centre, corner points, width, height, the larger of both, and zoom.
 
-    The width is that of the southern edge, the height that of the western.
+    The width is the geodesic between the southern corners, which for an extent of over half the
+    globe runs around its other side, the height that of the western edge.
     """
     xmin, ymin, xmax, ymax = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
     sized = bounds.select(
@@ -51,12 +53,9 @@ def measured_extent(bounds: DataFrame) -> DataFrame:
         ((xmin + xmax) / 2.0).alias("centroid_x"), ((ymin + ymax) / 2.0).alias("centroid_y"),
         point_text(xmin, ymin).alias("pnt_sw"), point_text(xmin, ymax).alias("pnt_nw"),
         point_text(xmax, ymin).alias("pnt_se"), point_text(xmax, ymax).alias("pnt_ne"),
-        parallel_metres(xmin, xmax, ymin).alias("width_meters"),
-        meridian_metres(ymin, ymax).alias("height_meters"),
     )
-    larger = F.when(
-        F.col("width_meters") >= F.col("height_meters"), F.col("width_meters")
-    ).otherwise(F.col("height_meters"))
+    sized = let(sized, width_meters=geodesic_metres(xmin, ymin, xmax, ymin), height_meters=meridian_metres(ymin, ymax))
+    larger = F.greatest("width_meters", "height_meters")
     return sized.withColumn("max_meters", larger).withColumn("zoom", zoom_level(F.col("max_meters")))
 
 

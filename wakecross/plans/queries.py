@@ -5,7 +5,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakecross.functions.grid import cell_bounds, cell_level, cell_of, cell_parent, cell_text
@@ -20,6 +20,7 @@ from wakecross.operators import trajectories as T
 from wakecross.operators.cover import capsule_cover, disc_cover
 from wakecross.operators.line_encounters import line_encounters
 from wakecross.operators.ping_encounters import ping_encounters
+from wakecross.operators.steps import let
 from wakecross.plans import fixture
 from wakecross.sources import archives, ports, positions, tables
 
@@ -348,11 +349,23 @@ def vessel_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fixture.pings(spark, sf_dir).groupBy("mmsi").agg(
         F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax")
     )
-    size = F.greatest(
-        X.parallel_metres(F.col("xmin"), F.col("xmax"), F.col("ymin")),
-        X.meridian_metres(F.col("ymin"), F.col("ymax")),
+    xmin, ymin, xmax, ymax = (F.col(c) for c in ("xmin", "ymin", "xmax", "ymax"))
+    size = F.greatest(X.geodesic_metres(xmin, ymin, xmax, ymin), X.meridian_metres(ymin, ymax))
+    return _sized(rows, size)
+
+
+def _sized(rows: DataFrame, size: Column) -> DataFrame:
+    measured = let(rows, size=size)
+    return measured.select(
+        "mmsi", F.round("size", 3).alias("meters"), X.zoom_level(F.col("size")).cast("long").alias("zoom")
     )
-    return rows.select("mmsi", F.round(size, 3).alias("meters"), X.zoom_level(size).cast("long").alias("zoom"))
+
+
+def vessel_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Geodesic between each vessel's first ping and a place in the other half of the globe, with zoom."""
+    rows = fixture.pings(spark, sf_dir).groupBy("mmsi").agg(F.min_by(F.struct("lon", "lat"), "ping_id").alias("p"))
+    lon = -F.col("p.lon") - (F.col("mmsi") % 40)
+    return _sized(rows, X.geodesic_metres(F.col("p.lon"), F.col("p.lat"), lon, -F.col("p.lat") + 60.0))
 
 
 def zoom_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,7 +422,7 @@ QUERIES: dict[str, Query] = {
         ping_pairs_corrected_window, ping_pairs_shared_cells, ping_pairs_outside_harbours, encounter_heatmap,
         encounter_topk, heatmap_sql_view, tumbling_lines, line_segments, line_buffer_radius, line_area_cap,
         thinned_lines, cut_lines, line_pairs, line_pairs_shared_cells, line_heatmap, line_heatmap_sql_view,
-        line_cells_outside_harbours, pairs_outside_harbours, paths_outside_harbours, bbox, extent_measures, vessel_zoom, zoom_info, wkt_extents, bounded_sample,
+        line_cells_outside_harbours, pairs_outside_harbours, paths_outside_harbours, bbox, extent_measures, vessel_zoom, vessel_distances, zoom_info, wkt_extents, bounded_sample,
         distinct_limit, formatted_count, layer_rows, layer_centre,
     )
 }
