@@ -5,6 +5,7 @@ encoded once, in Spark, into a table by hash in the shared folder; ids then join
 back to the pieces' positions. Decoding joins ids with the vocabulary's byte strings.
 """
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,26 +32,30 @@ CHUNK_BYTES = 1 << 20
 ENCODED_PIECES = 2_000
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    """The vocabulary's own tokenizer; a process loads it once, for all its tasks."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
 class Splitter:
-    """Splits texts as the vocabulary file says; special tokens are pieces of their own."""
+    """Splits texts as the vocabulary file says; special tokens are pieces of their own. Tasks that only split load no tokenizer."""
 
     def __init__(self, path: str):
         self.path = path
-        self.tokenizer = None
-
-    def __getstate__(self):
-        return {"path": self.path, "tokenizer": None}
+        self.special = sorted((t.content for t in tokenizer_of(path).get_added_tokens_decoder().values()), key=len, reverse=True)
 
     def open(self) -> "Splitter":
-        if self.tokenizer is None:
-            self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.no_truncation()
-            self.tokenizer.no_padding()
-            self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-            self.find = regex.compile(PATTERN).findall
-            self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.find = regex.compile(PATTERN).findall
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         return self
 
+    def __getstate__(self):
+        return {"path": self.path, "special": self.special}
+
     def pieces(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
             return self.find(text)
@@ -167,7 +172,7 @@ def _encode_bucket(table: WordTable, splitter: Splitter, vocabulary):
         ends = np.cumsum(lengths.astype(np.int64))
         hashes, first = np.unique(hashes, return_index=True)
         begin, end = (ends - lengths)[first], ends[first]
-        known, tokenizer = vocabulary.value, splitter.open().tokenizer
+        known, tokenizer = vocabulary.value, tokenizer_of(splitter.path)
         ids, out = [], []
         for k in range(0, len(first), ENCODED_PIECES):
             own = slice(k, k + ENCODED_PIECES)
@@ -190,7 +195,7 @@ def word_table(texts: DataFrame, path: str) -> WordTable:
     folder = shared_folder(spark)
     shared.make_folder(folder)
     splitter, table = Splitter(path), WordTable(folder, buckets)
-    vocabulary = spark.sparkContext.broadcast(byte_pieces(Tokenizer.from_file(path)))
+    vocabulary = spark.sparkContext.broadcast(byte_pieces(tokenizer_of(path)))
     dealt = texts.select("text").mapInArrow(shared.released(_distinct(splitter, buckets)), packed.schema(3))
     dealt.groupBy("bucket").applyInArrow(_encode_bucket(table, splitter, vocabulary), "words long").agg(F.sum("words")).collect()
     return table
@@ -270,7 +275,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     id outside the vocabulary adds nothing.
     """
     spark = encoded.sparkSession
-    pieces = spark.createDataFrame(list(enumerate(byte_pieces(Tokenizer.from_file(path)))), "id int, piece binary")
+    pieces = spark.createDataFrame(list(enumerate(byte_pieces(tokenizer_of(path)))), "id int, piece binary")
     placed = encoded.select(F.col(key), "ids").distinct().select(key, "ids", F.posexplode_outer("ids").alias("at", "id"))
     joined = placed.join(F.broadcast(pieces), "id", "left").groupBy(key, "ids").agg(
         F.array_sort(F.collect_list(F.struct("at", F.hex("piece").alias("piece")))).alias("found")
