@@ -2,6 +2,7 @@
 
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from wakecross.functions import grid
 from wakecross.functions.motion import half_window, time_window
 from wakecross.functions.scale import ZOOM_METRES, geodesic_metres, meridian_metres, zoom_level
-from wakecross.functions.text import binary_srid, geojson_extent, point_wkb, wkt_extent
+from wakecross.functions.text import binary_extent, binary_srid, double_bytes, geojson_extent, line_wkb, point_wkb, wkt_extent
 from wakecross.operators.discs import discs_meet_in_box
 from wakecross.operators.extent import point_extent, zoom_info
-from wakecross.operators.layers import enable_geometry
+from wakecross.operators.layers import Form, geometry_layer
 from wakecross.operators.segments import meeting, with_box_distances
 
 SEGMENT = ("x1", "y1", "x2", "y2")
@@ -228,10 +229,103 @@ def test_binary_srid(spark):
 
 
 def test_point_wkb_is_read_by_spark(spark):
-    enable_geometry(spark)
-    frame = spark.createDataFrame([(1.5, -2.25)], "lon DOUBLE, lat DOUBLE").select(point_wkb("lon", "lat").alias("g"))
+    spark.conf.set("spark.sql.geospatial.enabled", "true")
+    frame = spark.createDataFrame([(1.5, -2.25)], "lon DOUBLE, lat DOUBLE")
+    frame = frame.select(point_wkb(F.col("lon"), F.col("lat")).alias("g"))
     row = frame.select(
         F.expr("st_srid(st_geomfromwkb(g))").alias("s"), F.hex(F.expr("st_asbinary(st_geomfromwkb(g))")).alias("h"),
         F.hex("g").alias("g"),
     ).first()
     assert row.s == 0 and row.h == row.g
+
+
+def test_bytes_of_doubles(spark):
+    rng = random.Random(5)
+    values = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(2_000)]
+    values += [0.0, 1.0, -1.0, 0.1, 5e-324, -5e-324, 2.0**-1022, 1.7976931348623157e308, 2.0**1023, 7.999999999999999]
+    values = [v for v in values if math.isfinite(v)]
+    rows = spark.createDataFrame([(v, struct.pack("<d", v), struct.pack(">d", v)) for v in values] + [(None, None, None)], "v DOUBLE, a BINARY, b BINARY")
+    assert rows.where("v IS NOT NULL").where(double_bytes(F.col("v")) != F.col("a")).count() == 0
+    assert rows.where("v IS NULL").where(double_bytes(F.col("v")).isNull()).count() == 1
+    points = rows.select("v", F.concat(F.unhex(F.lit("0101000000")), "a", "a").alias("a"), F.concat(F.unhex(F.lit("0000000001")), "b", "b").alias("b"))
+    both = points.where("v IS NOT NULL").select("v", binary_extent(F.col("a")).xmin.alias("a"), binary_extent(F.col("b")).ymax.alias("b"))
+    assert both.where("a IS DISTINCT FROM v OR b IS DISTINCT FROM v").count() == 0
+
+
+def _shape(rng, points, depth=0):
+    """A random geometry in WKB, ISO or EWKB, in any byte order; its points are added to the list."""
+    order = rng.choice("<>")
+    z, m = rng.random() < 0.3, rng.random() < 0.2
+    iso, srid = rng.random() < 0.5, rng.random() < 0.3
+    kind = rng.choice([1, 2, 3] if depth > 2 else [1, 2, 3, 4, 5, 6, 7])
+    inner = {4: 1, 5: 2, 6: 3}
+
+    def number(n):
+        return struct.pack(order + "I", n)
+
+    def run(n):
+        out = b""
+        for _ in range(n):
+            p = (rng.uniform(-200, 200), rng.uniform(-90, 90))
+            points.append(p)
+            out += struct.pack(order + "dd", *p) + b"".join(struct.pack(order + "d", 999.0) for f in (z, m) if f)
+        return out
+
+    def body(kind):
+        if kind == 1:
+            return run(1)
+        if kind == 2:
+            n = rng.randrange(4)
+            return number(n) + run(n)
+        if kind == 3:
+            sizes = [rng.randrange(1, 5) for _ in range(rng.randrange(3))]
+            return number(len(sizes)) + b"".join(number(n) + run(n) for n in sizes)
+        parts = [header(inner[kind]) + body(inner[kind]) if kind in inner else _shape(rng, points, depth + 1) for _ in range(rng.randrange(4))]
+        return number(len(parts)) + b"".join(parts)
+
+    def header(kind, tag=False):
+        code = kind + (1000 * z + 2000 * m if iso else (0x80000000 if z else 0) | (0x40000000 if m else 0))
+        code |= 0x20000000 if tag else 0
+        return (b"\x01" if order == "<" else b"\x00") + number(code) + (number(4326) if tag else b"")
+
+    return header(kind, srid) + body(kind)
+
+
+def test_binary_extents_of_any_shape(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        points = []
+        shape = _shape(rng, points)
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        rows.append((k, shape, *((min(xs), min(ys), max(xs), max(ys)) if points else (None,) * 4)))
+    rows.append((300, struct.pack("<BIdd", 1, 1, math.nan, math.nan), None, None, None, None))
+    rows.append((301, struct.pack("<BIIdd", 1, 2, 4_000_000_000, 1.0, 2.0), 1.0, 2.0, 1.0, 2.0))
+    rows.append((302, None, None, None, None, None))
+    rows.append((303, b"", None, None, None, None))
+    frame = spark.createDataFrame(rows, "id INT, g BINARY, xmin DOUBLE, ymin DOUBLE, xmax DOUBLE, ymax DOUBLE")
+    read = frame.select("id", binary_extent(F.col("g")).alias("e"), F.struct("xmin", "ymin", "xmax", "ymax").alias("want")).collect()
+    for r in read:
+        assert (tuple(r.e) if r.e is not None else (None,) * 4) == tuple(r.want), r.id
+
+
+def test_lines_and_binary_layers(spark):
+    points = [(-1.5, 2.0), (3.25, -4.0), (0.0, 0.1)]
+    line = struct.pack("<BII", 1, 2, 3) + b"".join(struct.pack("<dd", *p) for p in points)
+    frame = spark.createDataFrame([(points,)], "p array<struct<lon double, lat double>>").select(line_wkb(F.col("p")).alias("g"))
+    assert bytes(frame.first().g) == line
+    view = geometry_layer(frame, "g", Form.BINARY)
+    assert tuple(view.centre.first())[:2] == (0.875, -1.0)
+    assert view.layers["layer_0"].first().g == line.hex().upper()
+
+
+def test_cell_outlines_can_be_filtered_on(spark):
+    """The whole outline compiles inside a filter, which may not fall back to interpretation."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        cells = spark.range(1_000).select(grid.cell_of(F.col("id") / 7.0 - 70.0, F.col("id") / 20.0 - 20.0, 17).alias("c"))
+        box = grid.cell_bounds(F.col("c"))
+        found = cells.where((box.xmin > -10.0) & (box.ymax < 5.0) & (box.xmax < 60.0) & (box.ymin > -19.0)).count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert 0 < found < 1_000

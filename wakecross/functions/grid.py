@@ -9,6 +9,8 @@ Levels up to 27 fit.
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wakecross.functions.naming import named
+
 LEVEL_BIT = 56
 CODE_MASK = (1 << LEVEL_BIT) - 1
 
@@ -43,13 +45,16 @@ def _spread(value: Column) -> Column:
     return value
 
 
+def _closer(shift: int, mask: int):
+    return lambda x: x.v.bitwiseOR(F.shiftrightunsigned(x.v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+
+
 def _gather(code: Column) -> Column:
     value = code.bitwiseAND(F.lit(SPREAD[-1][1]).cast("long"))
     wider = [mask for _, mask in SPREAD[:-1]][::-1] + [0x00000000FFFFFFFF]
     for (shift, _), mask in zip(SPREAD[::-1], wider):
-        value = value.bitwiseOR(F.shiftrightunsigned(value, shift)).bitwiseAND(
-            F.lit(mask).cast("long")
-        )
+        # Written out twice at each step, the code would double five times.
+        value = named(_closer(shift, mask), v=value)
     return value
 
 
@@ -88,14 +93,17 @@ def cell_parent(cell: Column, steps: int = 1) -> Column:
 
 def cell_bounds(cell: Column) -> Column:
     """Outline of a cell as a struct of xmin, ymin, xmax, ymax."""
+
+    def outline(x: Column) -> Column:
+        return F.struct(
+            (x.ix * x.side - 180.0).alias("xmin"),
+            (x.iy * x.side - 90.0).alias("ymin"),
+            ((x.ix + 1) * x.side - 180.0).alias("xmax"),
+            ((x.iy + 1) * x.side - 90.0).alias("ymax"),
+        )
+
     side = F.lit(360.0) / F.pow(F.lit(2.0), cell_level(cell))
-    ix, iy = cell_column(cell), cell_row(cell)
-    return F.struct(
-        (ix * side - 180.0).alias("xmin"),
-        (iy * side - 90.0).alias("ymin"),
-        ((ix + 1) * side - 180.0).alias("xmax"),
-        ((iy + 1) * side - 90.0).alias("ymax"),
-    )
+    return F.when(cell.isNotNull(), named(outline, side=side, ix=cell_column(cell), iy=cell_row(cell)))
 
 
 def cell_text(cell: Column) -> Column:

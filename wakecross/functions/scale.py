@@ -5,6 +5,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wakecross.functions.naming import named
+
 # WGS84 semi-major axis in metres and flattening.
 SEMI_MAJOR = 6_378_137.0
 FLATTENING = 1 / 298.257223563
@@ -74,8 +76,8 @@ def geodesic_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
 
     def step(state: Column, _: Column) -> Column:
         known, at = state.known, state.at
-        named = F.transform(F.array(F.struct(*[v.alias(k) for k, v in arc(known, at).items()])), lambda x: _next(known, x))
-        return F.struct(known.alias("known"), named[0].alias("at"), F.abs(named[0] - at).alias("moved"))
+        following = named(lambda x: _next(known, x), **arc(known, at))
+        return named(lambda x: F.struct(known.alias("known"), x.at.alias("at"), F.abs(x.at - at).alias("moved")), at=following)
 
     def _next(known: Column, x: Column) -> Column:
         c = FLATTENING / 16 * x.squared * (4.0 + FLATTENING * (4.0 - 3.0 * x.squared))
@@ -83,8 +85,7 @@ def geodesic_metres(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
         return known.turn + (one - c) * FLATTENING * x.azimuth * (x.size + c * x.sine * inner)
 
     def length(state: Column) -> Column:
-        row = F.struct(*[v.alias(k) for k, v in arc(state.known, state.at).items()])
-        return F.transform(F.array(row), lambda x: _metres(x))[0]
+        return named(_metres, **arc(state.known, state.at))
 
     def _metres(x: Column) -> Column:
         u = x.squared * (SEMI_MAJOR**2 - minor**2) / minor**2

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wakecross.functions.grid import cell_bounds
 from wakecross.functions.scale import geodesic_metres, meridian_metres, zoom_level
-from wakecross.functions.text import geojson_extent, point_text, wkt_extent
+from wakecross.functions.text import binary_extent, geojson_extent, point_text, wkt_extent
 from wakecross.operators.sampling import bounded_sample
 from wakecross.operators.steps import let
 
@@ -16,6 +16,7 @@ DEFAULT_CENTRE = (0.0, 0.0, 3)
 EXTENT_OF = {
     "wkt": wkt_extent,
     "geojson": geojson_extent,
+    "binary": binary_extent,
     "cell": cell_bounds,
     "cell_text": lambda text: cell_bounds(F.conv(text, 16, 10).cast("long")),
 }

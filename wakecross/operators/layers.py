@@ -3,12 +3,12 @@
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakecross.functions.grid import cell_text
 from wakecross.functions.text import binary_srid
-from wakecross.operators.extent import EXTENT_OF, column_extent, zoom_info
+from wakecross.operators.extent import column_extent, zoom_info
 
 
 class Form(Enum):
@@ -61,11 +61,9 @@ def map_view(*layers: Layer, centre: tuple[float, float, float] | None = None) -
     if centre is not None:
         spark = first.frame.sparkSession
         view = spark.range(1).select(*[F.lit(v).alias(c) for v, c in zip(centre, ("map_x", "map_y", "map_zoom"))])
-    elif first.form.value in EXTENT_OF:
+    else:
         shape = column_extent(F.col(first.column), first.form.value)
         view = zoom_info(first.frame, shape, first.sample_rows)
-    else:
-        raise ValueError("the extent of a binary layer is not read: give its centre")
     return MapView(named, view)
 
 
@@ -87,11 +85,6 @@ def write_layer(layer: Layer, path: str, rows: int | None = None) -> None:
     frame.write.mode("overwrite").option("header", True).csv(path)
 
 
-def enable_geometry(spark: SparkSession) -> None:
-    """Switches Spark's own geometry type on, for ``st_srid`` and its like."""
-    spark.conf.set("spark.sql.geospatial.enabled", "true")
-
-
 def srid_counts(frame: DataFrame, column: str) -> DataFrame:
     """Rows per SRID in a WKB or EWKB column: more than one row means mixed input."""
     counted = frame.select(binary_srid(F.col(column)).alias("srid"))

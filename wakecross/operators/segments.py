@@ -35,7 +35,7 @@ def meeting(pairs: DataFrame, p, q, r_p: Column, r_q: Column) -> DataFrame:
         for k, (x, y, segment) in reversed(list(enumerate(tries))):
             end, own = (x, y)[axis], r_p if k < 2 else r_q
             foot = segment[axis] + F.col(f"at{k}_") * (segment[axis + 2] - segment[axis])
-            between = end + (foot - end) * own / reach
+            between = end + (foot - end) * F.coalesce(own / F.nullif(reach, F.lit(0.0)), F.lit(0.5))
             value = between if value is None else F.when(F.col(f"d{k}_") == nearest, between).otherwise(value)
         meet.append(F.when(F.col("crossing_"), F.coalesce(crossed, value)).otherwise(value))
     return let(met, meet_x=meet[0], meet_y=meet[1]).select(*columns, "meet_x", "meet_y")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakecross.functions.grid import cell_bounds, cell_level, cell_of, cell_parent, cell_text
-from wakecross.functions.text import geojson_extent, line_text, point_wkb, wkt_extent
+from wakecross.functions.text import binary_extent, geojson_extent, line_text, line_wkb, point_wkb, wkt_extent
 from wakecross.functions.units import LINE_LEVEL, PING_LEVEL, PING_RADIUS
 from wakecross.operators import extent as X
 from wakecross.operators import harbours as H
@@ -34,6 +34,7 @@ LARGE_ORDER = 200_000
 TOLERANCE = 0.0005
 SMALL_AREA = 4e6
 HEATMAP_BELOW = 100.0
+SRID = 4326
 
 
 def seconds(column: str):
@@ -143,10 +144,25 @@ def clustered_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wkb_srid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per SRID where every other ping is EWKB and the rest plain WKB."""
-    wkb = fixture.pings(spark, sf_dir).select("ping_id", point_wkb("lon", "lat").alias("geom"))
-    tagged = F.concat(F.unhex(F.lit("0101000020E6100000")), F.substring("geom", 6, 16))
-    mixed = wkb.select(F.when(F.col("ping_id") % 2 == 0, tagged).otherwise(F.col("geom")).alias("geom"))
-    return L.srid_counts(mixed, "geom")
+    lon, lat = F.col("lon"), F.col("lat")
+    tagged = F.when(F.col("ping_id") % 2 == 0, point_wkb(lon, lat, SRID)).otherwise(point_wkb(lon, lat))
+    return L.srid_counts(fixture.pings(spark, sf_dir).select(tagged.alias("geom")), "geom")
+
+
+def wkb_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extent of each line, read back from a binary collection of the line and its first point, which has a SRID."""
+    points = F.col("points")
+    parts = F.concat(line_wkb(points), point_wkb(points[0].lon, points[0].lat, SRID))
+    shapes = F.concat(F.unhex(F.lit("010700000002000000")), parts)
+    lines = T.trajectories(fixture.pings(spark, sf_dir)).select("mmsi", "window_start", shapes.alias("geom"))
+    return _in_seconds(let(lines, e=binary_extent(F.col("geom"))).select("mmsi", "window_start", "e.*"))
+
+
+def binary_layer_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre and zoom of a layer of points in binary form."""
+    points = fixture.pings(spark, sf_dir).select(point_wkb(F.col("lon"), F.col("lat")).alias("geom"))
+    view = L.geometry_layer(points, "geom", L.Form.BINARY).centre
+    return view.withColumn("map_zoom", F.col("map_zoom").cast("long"))
 
 
 # -- grid and covers ----------------------------------------------------------
@@ -417,7 +433,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         ais_cargo_filter, ais_time_range, point_index, track_listing, star_except, daily_manifest,
-        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, clustered_write_roundtrip, wkb_srid,
+        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, clustered_write_roundtrip, wkb_srid, wkb_extents, binary_layer_centre,
         cell_bounds_text, disc_cover_cells, capsule_cover_cells, harbour_cells, ping_pairs_reference_window,
         ping_pairs_corrected_window, ping_pairs_shared_cells, ping_pairs_outside_harbours, encounter_heatmap,
         encounter_topk, heatmap_sql_view, tumbling_lines, line_segments, line_buffer_radius, line_area_cap,
