@@ -26,7 +26,7 @@ PATTERN = (
 )
 FLUSH_PIECES = 200_000
 # Pieces that a worker keeps at hand; more are looked up again.
-KEPT_PIECES = 100_000
+KEPT_PIECES = 400_000
 CHUNK_BYTES = 1 << 20
 # Pieces that the tokenizer holds at once; what it returns for each is large.
 ENCODED_PIECES = 2_000
