@@ -1,9 +1,13 @@
 """Readers, tables, extent and layers."""
 
 import json
+import subprocess
+import sys
 import zipfile
 from datetime import date
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ from wakecross.operators import layers as L
 from wakecross.operators.sampling import bounded_sample, distinct_rows
 from wakecross.sources import archives, ports, positions, tables
 
+ROOT = Path(__file__).resolve().parent.parent
 HEADER = "MMSI,BaseDateTime,LAT,LON,SOG,COG,Heading,VesselName,IMO,CallSign,VesselType,Status,Length,Width,Draft,Cargo,TransceiverClass"
 GOOD = "366000001,2024-02-21T00:00:00,33.5,-118.2,10.0,1.0,90.0,ONE,IMO1,C1,70,0,100,20,5.5,70,A"
 BAD_FIELD = "366000002,2024-02-21T23:59:00,33.5,-118.2,fast,1.0,90.0,TWO,IMO2,C2,70,0,100,20,5.5,70,A"
@@ -75,6 +80,102 @@ def test_archives(spark, folder, tmp_path):
     assert missing.count() == 26 and missing.where("file_name = 'AIS_2024_02_02.zip'").count() == 1
 
 
+def test_archives_are_read_by_ranges_and_records(spark, tmp_path):
+    quoted = GOOD.replace("ONE", '"ON\nE, x"').replace("366000001", "366000005")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("one.csv", "\n".join([HEADER, GOOD, quoted, LATE]))
+        archive.writestr("sub/two.CSV", (HEADER + "\n" + BAD_FIELD.replace("TWO", "T#O")).encode().replace(b"#", b"\xff"))
+        archive.writestr("empty.csv", "")
+        archive.writestr("notes.txt", "x" * 1_000_000)
+    with zipfile.ZipFile(tmp_path / "b c.zip", "w") as archive:
+        archive.writestr("three.csv", HEADER + "\n")
+    members = archives.archive_members(spark, str(tmp_path))
+    assert sorted(r.member for r in members.collect()) == ["empty.csv", "one.csv", "sub/two.CSV", "three.csv"]
+    names = {r.MMSI: r.VesselName for r in archives.read_archives(spark, str(tmp_path)).collect()}
+    assert names == {366000001: "ONE", 366000005: "ON\nE, x", 366000003: "TRI", 366000002: "T\ufffdO"}
+
+
+def test_one_archive_serves_many_tasks(spark, tmp_path):
+    lines = spark.range(5_000, numPartitions=1).select(F.concat(F.col("id") + 366000000, F.lit(GOOD[9:])).alias("line"))
+    archives.write_archives(lines, str(tmp_path / "z"), HEADER, rows_per_member=700)
+    assert len(list((tmp_path / "z").iterdir())) == 1
+    read = archives.read_archives(spark, str(tmp_path / "z"))
+    assert read.count() == read.select("MMSI").distinct().count() == 5_000
+    assert read.select(F.spark_partition_id()).distinct().count() >= 8
+    (tmp_path / "none").mkdir()
+    assert archives.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def _scan_metrics(frame):
+    frame.collect()
+    leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return {name: leaf.metrics().apply(name).value() for name in ("numFiles", "numOutputRows")}
+
+
+def test_a_range_filter_reads_few_files_and_row_groups(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("ix"), (F.col("id") % 4).cast("int").alias("day"), F.lit("x" * 20).alias("v"))
+    spark.conf.set("parquet.block.size", str(64 * 1024))
+    try:
+        tables.overwrite_parts(rows, path, "day", "ix")
+    finally:
+        spark.conf.unset("parquet.block.size")
+    files = sorted((tmp_path / "c").rglob("*.parquet"))
+    groups = [pq.read_metadata(f) for f in files]
+    assert sum(g.num_row_groups for g in groups) > 12
+    chosen = spark.read.parquet(path).where("day = 2 AND ix BETWEEN 100000 AND 101000")
+    metrics = _scan_metrics(chosen.select("ix"))
+    of_day = [f for f in files if "day=2" in str(f)]
+    touched = 0
+    for f in of_day:
+        g = pq.read_metadata(f)
+        for k in range(g.num_row_groups):
+            column = next(g.row_group(k).column(c) for c in range(g.num_columns) if g.row_group(k).column(c).path_in_schema == "ix")
+            if column.statistics.max >= 100_000 and column.statistics.min <= 101_000:
+                touched += g.row_group(k).num_rows
+    # Spark opens the files of that day alone, and reads no row group beyond those whose range is asked for.
+    assert metrics["numFiles"] == len(of_day) < len(files)
+    assert chosen.count() <= metrics["numOutputRows"] <= touched < 20_000
+
+
+def test_one_part_is_replaced_and_the_others_stay(spark, tmp_path):
+    path = str(tmp_path / "c")
+    rows = spark.range(1_000).select("id", (F.col("id") % 3).cast("int").alias("day"))
+    tables.overwrite_parts(rows, path, "day", "id")
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "c").rglob("*.parquet")}
+    tables.overwrite_parts(rows.where("day = 1 AND id < 100"), path, "day", "id")
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "c").rglob("*.parquet")}
+    assert {f for f in before if "day=1" not in str(f)} == {f for f in after if "day=1" not in str(f)}
+    assert all(before[f] == after[f] for f in before if f in after) and not any("day=1" in str(f) for f in set(before) & set(after))
+    counts = {r.day: r["count"] for r in spark.read.parquet(path).groupBy("day").count().collect()}
+    assert counts == {0: 334, 1: 33, 2: 333}
+
+
+def test_a_workspace_leaves_nothing_behind(spark, sf_dir, tmp_path, monkeypatch):
+    from wakecross.plans.queries import QUERIES
+
+    monkeypatch.setattr(tables, "shared_root", lambda _: str(tmp_path))
+    with tables.workspace(spark):
+        assert QUERIES["pairs_outside_harbours"](spark, sf_dir).count() > 0
+        with tables.workspace(spark):
+            inner = tables.stored(spark.range(3))
+            assert inner.count() == 3
+        assert list(tmp_path.rglob("*.parquet"))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_written_tables_go_when_the_driver_ends(tmp_path):
+    code = f"""
+from wakecross.session import local_session
+from wakecross.sources import tables
+tables.shared_root = lambda _: {str(tmp_path)!r}
+spark = local_session(1, "1g")
+print(tables.stored(spark.range(4)).count())
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=200)
+    assert done.stdout.split()[-1] == "4" and list(tmp_path.iterdir()) == []
+
+
 def test_tables(spark, pings):
     tables.ensure_schema(spark, "wake_test")
     tables.overwrite_table(pings.select("mmsi"), "visits")

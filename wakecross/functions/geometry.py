@@ -92,16 +92,9 @@ def chord(at: Column, a1: Column, b1: Column, a2: Column, b2: Column, r: Column,
     return F.least(*[low for low, _ in tries]), F.greatest(*[high for _, high in tries])
 
 
-def buffer_area(length: Column, radius: Column, width: Column, height: Column, lat: Column) -> Column:
-    """Upper bound in square metres of the area within ``radius`` of a line.
-
-    Two bounds hold, the sum over the line's segments and the buffered extent
-    of the line; the smaller one is taken. All inputs are in degrees.
-    """
-    strip = 2.0 * radius * length + F.lit(3.141592653589793) * radius * radius
-    extent = (width + 2.0 * radius) * (height + 2.0 * radius)
-    metres = F.lit(DEGREE_METRES * DEGREE_METRES)
-    return F.least(strip, extent) * metres * F.cos(F.radians(lat))
+def square_metres(lat: Column) -> Column:
+    """Square metres in one squared degree at a latitude."""
+    return F.lit(DEGREE_METRES * DEGREE_METRES) * F.cos(F.radians(lat))
 
 
 def all_of(conditions) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wakecross.functions import geometry as G
 from wakecross.functions.units import AREA_CAP, LINE_RADIUS, TRAJECTORY_WINDOW
+from wakecross.operators.areas import area_bounds, swept_areas
 from wakecross.operators.hot_keys import found_hot_keys
 from wakecross.operators.joins import by_size
 from wakecross.sources.tables import stored
@@ -158,22 +159,28 @@ def buffered_segments(
     most: int | None = None,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Segments with the radius r of their line, without lines above the area cap.
+    """Segments with the radius r of their line, without lines whose buffer has the area cap or more.
 
     ``most`` is the point count of the largest line. Unless given, it is a
     scalar subquery and so does not come to the driver. The segments are
     stored, since this and the steps that follow pass over them more than once.
+    Most lines are decided by bounds from their length and extent; the buffers of
+    the others are measured. Degrees are of one size within a line, that of its middle latitude.
     """
     segments = stored(trajectory_segments(pings, length, part_rows))
     largest = F.lit(most) if most is not None else segments.agg(F.max("n_points")).scalar()
     buffered = whole_line_measures(segments).withColumn("r", line_radius(F.col("n_points"), largest, base))
     if area_cap is None:
         return buffered
-    area = G.buffer_area(
-        F.col("length"), F.col("r"), F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"),
-        (F.col("ymin") + F.col("ymax")) / 2.0,
-    )
-    return buffered.where(area < area_cap)
+    width, height = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    low, high = area_bounds(F.col("r"), F.col("length"), width, height)
+    cap = area_cap / G.square_metres((F.col("ymin") + F.col("ymax")) / 2.0)
+    open_lines = buffered.where((low < cap) & (high >= cap))
+    if open_lines.isEmpty():
+        return buffered.where(high < cap)
+    areas = by_size(stored(swept_areas(open_lines, LINE)))
+    measured = buffered.join(areas, LINE, "left")
+    return measured.where((high < cap) | (F.col("area") < cap)).select(*buffered.columns)
 
 
 def thinned(pings: DataFrame, tolerance: float, length: str = TRAJECTORY_WINDOW, part_rows: int = PART_ROWS) -> DataFrame:

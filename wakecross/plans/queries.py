@@ -1,10 +1,7 @@
 """The registered queries. Each takes a session and the folder of the given tables."""
 
-import io
-import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +32,8 @@ TOLERANCE = 0.0005
 SMALL_AREA = 4e6
 HEATMAP_BELOW = 100.0
 SRID = 4326
+REPLACED = 1
+TRACK_ROWS = 100_000
 
 
 def seconds(column: str):
@@ -65,7 +64,7 @@ def point_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.track(fixture.pings(spark, sf_dir), TRACKED)
+    return positions.track(fixture.pings(spark, sf_dir), TRACKED, TRACK_ROWS)
 
 
 def star_except(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,26 +111,44 @@ def _position_columns(raw: DataFrame) -> DataFrame:
     )
 
 
-def _zipper() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Packs each batch of lines into one archive; travels to executors by value."""
+def zip_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions packed into a folder of zip archives of several members, and read out of it by byte ranges.
 
-    def zipped(batches):
-        for number, batch in enumerate(batches):
-            packed = io.BytesIO()
-            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
-                archive.writestr("part.csv", "\n".join(["header", *batch["line"]]) + "\n")
-            yield pd.DataFrame({"path": [f"part-{number}.zip"], "content": [packed.getvalue()]})
+    The names of some vessels hold a line feed, which is quoted in the files.
+    """
+    raw = fixture.raw_positions(spark, sf_dir)
+    broken = F.concat("VesselName", F.lit("\n"), F.col("ping_id").cast("string"))
+    columns = _position_columns(raw.withColumn("VesselName", F.when(F.col("ping_id") % 5 == 0, broken).otherwise(F.col("VesselName"))))
+    path = tables.shared_folder(spark)
+    lines = columns.select(F.to_csv(F.struct(*columns.columns)).alias("line"))
+    archives.write_archives(lines, path, ",".join(columns.columns), rows_per_member=2_000)
+    read = positions.snake_case(archives.read_archives(spark, path))
+    return _in_seconds(read.select("mmsi", "ts", "lon", "lat", "sog", "heading", "vessel_name", "status"))
 
-    return zipped
 
+def replaced_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustered table by hours, one of which is written again with other vessels; one cell range is read back."""
+    path = tables.shared_folder(spark)
+    rows = fixture.pings(spark, sf_dir).select("ping_id", "mmsi", "ts", "ix", F.hour("ts").alias("hour"))
+    tables.overwrite_parts(rows, path, "hour", "ix", "ts")
+    again = rows.where(F.col("hour") == REPLACED).withColumn("mmsi", F.col("mmsi") + 1)
+    tables.overwrite_parts(again, path, "hour", "ix", "ts")
+    read = spark.read.parquet(path).where(F.col("ix") < cell_of(F.lit(-119.5), F.lit(33.5), PING_LEVEL))
+    return _in_seconds(read.select("ping_id", "mmsi", "ts", "hour"))
 
-def zip_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions packed into zip archives, batch by batch, and read out of them."""
-    columns = _position_columns(fixture.raw_positions(spark, sf_dir))
-    lines = columns.select(F.to_csv(F.struct(*columns.columns)).alias("line"))
-    files = lines.mapInPandas(_zipper(), "path STRING, content BINARY")
-    read = positions.snake_case(archives.archive_positions(files))
-    return _in_seconds(read.select("mmsi", "ts", "lon", "lat", "sog", "heading", "vessel_name", "status"))
+
+def ports_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Port names and points out of a written GeoJSON file of several lines."""
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.col("name").alias("PORT_NAME")).alias("properties"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+    )
+    features = F.array_sort(F.collect_list(feature)).alias("features")
+    document = fixture.harbours(spark, sf_dir).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features)).alias("value"))
+    path = tables.shared_folder(spark)
+    # One document of many lines.
+    document.select(F.replace("value", F.lit("},{"), F.lit("},\n{")).alias("value")).coalesce(1).write.text(path)
+    return ports.read_ports(spark, path).select("name", "lon", "lat")
 
 
 def clustered_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,7 +450,7 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         ais_cargo_filter, ais_time_range, point_index, track_listing, star_except, daily_manifest,
-        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, clustered_write_roundtrip, wkb_srid, wkb_extents, binary_layer_centre,
+        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, ports_file, clustered_write_roundtrip, replaced_hour, wkb_srid, wkb_extents, binary_layer_centre,
         cell_bounds_text, disc_cover_cells, capsule_cover_cells, harbour_cells, ping_pairs_reference_window,
         ping_pairs_corrected_window, ping_pairs_shared_cells, ping_pairs_outside_harbours, encounter_heatmap,
         encounter_topk, heatmap_sql_view, tumbling_lines, line_segments, line_buffer_radius, line_area_cap,

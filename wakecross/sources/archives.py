@@ -2,16 +2,22 @@
 
 import io
 import itertools
+import os
+import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakecross.sources.positions import POSITION_SCHEMA
+from wakecross.sources.tables import stored
 
-LINES_PER_BATCH = 20_000
+RECORDS_PER_BATCH = 20_000
 
 
 def archive_name(day: Column) -> Column:
@@ -36,38 +42,107 @@ def present_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
-def _line_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The task function, made here so that it travels to executors by value."""
+def open_seekable(path: str):
+    """A file of any mounted or known store, opened for reading byte ranges."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file(unquote("/" + path[5:].lstrip("/")))
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path)
+    # Names of one store that differ between readers.
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return system.open_input_file(inner)
+
+
+def _records(text: Iterator[str]) -> Iterator[str]:
+    """Records of CSV text: lines, put together while a quoted field is open."""
+    held, quotes = [], 0
+    for line in text:
+        held.append(line)
+        # A quote after a backslash belongs to the field's text.
+        quotes += line.count('"') - line.count('\\"')
+        if quotes % 2 == 0:
+            yield "".join(held).rstrip("\r\n")
+            held, quotes = [], 0
+    if held:
+        yield "".join(held).rstrip("\r\n")
+
+
+def _member_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Task functions are made here, so that they travel to executors by value."""
+
+    def members(batches):
+        """The CSV members of each archive, from the directory at its end."""
+        for batch in batches:
+            for path in batch["path"]:
+                with open_seekable(path) as source, zipfile.ZipFile(source) as archive:
+                    found = [i for i in archive.infolist() if i.filename.lower().endswith(".csv")]
+                    yield pd.DataFrame({
+                        "path": [path] * len(found), "member": [i.filename for i in found], "size": [i.file_size for i in found],
+                    })
+
+    return members
+
 
-    def lines(batches):
-        """Data lines of every CSV in each archive, in batches, without header lines."""
+def _record_reader() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def records(batches):
+        """The records of each member but its header, streamed out of its range of the archive."""
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if not name.lower().endswith(".csv"):
-                            continue
-                        with archive.open(name) as member:
-                            text = io.TextIOWrapper(member, encoding="utf-8", errors="replace")
-                            next(text, None)
-                            while block := list(itertools.islice(text, LINES_PER_BATCH)):
-                                yield pd.DataFrame({"path": path, "line": [x.rstrip("\r\n") for x in block]})
+            for path, name in zip(batch["path"], batch["member"]):
+                with open_seekable(path) as source, zipfile.ZipFile(source) as archive, archive.open(name) as member:
+                    text = _records(io.TextIOWrapper(member, encoding="utf-8", errors="replace", newline=""))
+                    next(text, None)
+                    while block := list(itertools.islice(text, RECORDS_PER_BATCH)):
+                        yield pd.DataFrame({"path": path, "record": block})
 
-    return lines
+    return records
 
 
-def archive_positions(files: DataFrame) -> DataFrame:
-    """Positions of every CSV in archives given as rows of path and content."""
-    lines = files.select("path", "content").mapInPandas(_line_reader(), "path STRING, line STRING")
-    return lines.select(F.from_csv("line", POSITION_SCHEMA).alias("p")).select("p.*")
+def archive_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member, size) of every CSV in the archives of a folder; only their directories are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return files.mapInPandas(_member_lister(), "path STRING, member STRING, size LONG")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Positions of every archive in a folder, one task per archive.
+    """Positions of every CSV in the archives of a folder, in a task per member.
 
-    Lines are streamed out of an archive and parsed by Spark. An archive is one
-    binary value and so must stay below 2 GB.
+    Archives are read by byte ranges, first their directories, then each member on its own, so their size has no
+    limit and one archive serves many tasks. Records are streamed, with line feeds inside quotes, and bytes that
+    are not UTF-8 become replacement characters. Where there are fewer members than cores, records are
+    spread over all of them before they are parsed.
     """
-    return archive_positions(
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    )
+    members = stored(archive_members(spark, path))
+    cores, found = spark.sparkContext.defaultParallelism, members.count()
+    tasks = members.repartition(max(found, 1))
+    records = tasks.mapInPandas(_record_reader(), "path STRING, record STRING")
+    if 0 < found < cores:
+        records = records.repartition(cores)
+    return records.select(F.from_csv("record", POSITION_SCHEMA).alias("p")).select("p.*")
+
+
+def write_archives(lines: DataFrame, path: str, header: str, rows_per_member: int = 100_000) -> None:
+    """Writes CSV lines to a folder as zip archives, one per task, in members of at most so many rows."""
+    os_path = path.rstrip("/")
+
+    def write(batches):
+        task = TaskContext.get().partitionId()
+        rows = itertools.chain.from_iterable(batch["line"] for batch in batches)
+        # One name a task, so that a task that is run again replaces its own archive.
+        with _writable(f"{os_path}/part-{task:05d}.zip") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for number in itertools.count():
+                block = list(itertools.islice(rows, rows_per_member))
+                if not block:
+                    break
+                archive.writestr(f"part-{number}.csv", "\n".join([header, *block]) + "\n")
+        yield pd.DataFrame({"done": [task]})
+
+    lines.select("line").mapInPandas(write, "done INT").agg(F.count("done")).collect()
+
+
+def _writable(path: str):
+    if path.startswith("file:") or "://" not in path:
+        local = unquote("/" + path.removeprefix("file:").lstrip("/"))
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        return fs.LocalFileSystem().open_output_stream(local)
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
+    return system.open_output_stream(inner)

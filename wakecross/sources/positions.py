@@ -80,11 +80,9 @@ def index_pings(pings: DataFrame, level: int = PING_LEVEL) -> DataFrame:
     )
 
 
-def track(pings: DataFrame, mmsi: int, rows: int = 100_000) -> DataFrame:
-    """The pings of one vessel in time order, for a map."""
-    return (
-        pings.where(F.col("mmsi") == mmsi)
-        .orderBy("ts", "ping_id")
-        .limit(rows)
-        .select("ix", "mmsi", "vessel_name", F.col("ts").cast("string").alias("ts"))
-    )
+def track(pings: DataFrame, mmsi: int, rows: int | None = None) -> DataFrame:
+    """The pings of one vessel in time order; ``rows`` bounds them, for a map."""
+    ordered = pings.where(F.col("mmsi") == mmsi).orderBy("ts", "ping_id")
+    if rows is not None:
+        ordered = ordered.limit(rows)
+    return ordered.select("ix", "mmsi", "vessel_name", F.col("ts").cast("string").alias("ts"))

@@ -17,8 +17,18 @@ def ensure_schema(spark: SparkSession, name: str) -> None:
     spark.catalog.setCurrentDatabase(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name for written tables, below the cluster's shared folder.
+# Folders of the workspaces that are open, the innermost last.
+_WORKSPACES: list[list[str]] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Spark's own file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all of the cluster can write to and read from.
 
     That is the session's ``spark.checkpoint.dir``. Only a session in one
     process, as in tests, may leave it unset and gets a local temporary folder.
@@ -29,7 +39,36 @@ def shared_folder(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", master):
             raise ValueError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
         root = tempfile.mkdtemp(prefix="wakecross-")
-    return f"{root.rstrip('/')}/wakecross-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name for written tables, below the cluster's shared folder.
+
+    What is written there is deleted when its workspace closes, and else when the driver ends.
+    """
+    own = f"{shared_root(spark)}/wakecross-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, own)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    if _WORKSPACES:
+        _WORKSPACES[-1].append(own)
+    return f"{own}/data"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Owns the folders that are written while the block runs, and deletes them at its end.
+
+    Frames built on them can be used inside the block only: collect or write them there.
+    """
+    _WORKSPACES.append([])
+    try:
+        yield
+    finally:
+        for folder in _WORKSPACES.pop():
+            system, place = _file_system(spark, folder)
+            system.delete(place, True)
 
 
 def overwrite_table(frame: DataFrame, name: str) -> None:
@@ -85,6 +124,16 @@ def clustered(frame: DataFrame, *columns: str, partitions: int | None = None) ->
     return ranged.sortWithinPartitions(*columns)
 
 
+def overwrite_parts(frame: DataFrame, path: str, part: str, *columns: str) -> None:
+    """Replaces the parts of a clustered table that the frame has rows of, and leaves the others as they are.
+
+    ``part`` is the column, such as a day, that the table is divided by into folders; each part is laid out as
+    ``clustered`` does, so that file statistics go on skipping data after any number of replacements.
+    """
+    laid = clustered(frame, part, *columns)
+    laid.write.partitionBy(part).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def spread(frame: DataFrame, *columns: str, factor: int = 4, source: DataFrame | None = None) -> DataFrame:
     """Enough tasks for heavy work per row: ``factor`` per core of the cluster.
 
