@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakecross.llm import packed, shared, words
-from wakecross.llm.components import components
+from wakecross.llm.components import components, forest
 from wakecross.operators.joins import by_size
 from wakecross.sources.tables import shared_folder, stored
 
@@ -147,23 +147,6 @@ def _describe(table: packed.HashTable, k: int, percent: int):
     return describe
 
 
-def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Edges (node, smallest node of its component) of the graph of edges u - v."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    u, v = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[u], label[v])
-        before = label.copy()
-        np.minimum.at(label, u, low)
-        np.minimum.at(label, v, low)
-        np.minimum.at(label, before, label)
-        label = label[label]
-        if (label == before).all():
-            moved = label != np.arange(len(nodes))
-            return np.stack([nodes[moved], nodes[label[moved]]], 1)
-
-
 def _family_edges(table: packed.HashTable, k: int, percent: int, buckets: int):
     """Postings of 1-prefixes in order of frequency: stars within a flush, and each star's centre for its bucket."""
 
@@ -172,7 +155,7 @@ def _family_edges(table: packed.HashTable, k: int, percent: int, buckets: int):
         keys, nodes = keys[order], nodes[order]
         opens = np.concatenate([[True], keys[1:] != keys[:-1]])
         centre = nodes[np.flatnonzero(opens)][np.cumsum(opens) - 1]
-        return keys[opens], nodes[opens], _forest(nodes, centre)
+        return keys[opens], nodes[opens], forest(nodes, centre)
 
     def rows(edges):
         return pa.RecordBatch.from_arrays(
@@ -367,12 +350,16 @@ def _tile_edges(tiles: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(shared.released(_tiles(k, percent)), "u long, v long")
 
 
-def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _labelled(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes with the label of their component so far; a lone node is its own."""
-    roots = components(edges)
     return nodes.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
 
 
+def _edges(roots: DataFrame) -> DataFrame:
+    """Components found so far as edges, from which the next search starts."""
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def _blocks(frame: DataFrame, group: str, key: list, block: int) -> DataFrame:
     """A column ``part``: members of a group spread over parts of about ``block`` rows by hash; one part if they fit two."""
     sizes = frame.groupBy(group, *key).agg(F.count(F.lit(1)).alias("size"))
@@ -393,14 +380,15 @@ def links(texts: DataFrame, families: DataFrame, k: int, percent: int, block: in
     if large.isEmpty():
         return edges
     # One member of every component of a part stands for it, to connect what the parts have in common.
-    marked = _labelled(large, edges)
+    roots = components(edges)
+    marked = _labelled(large, roots)
     leaders = marked.groupBy("family", "label").agg(F.min("node").alias("node")).drop("label")
     dealt = _blocks(leaders, "family", [], block).join(texts, "node").select(
         F.xxhash64("family", "part").alias("tile"), "node", "text", alone.alias("label"), F.lit(0).alias("side")
     )
-    edges = stored(edges.union(_tile_edges(dealt, k, percent)))
+    roots = components(_edges(roots).union(_tile_edges(dealt, k, percent)))
     # What is still apart is compared in full, block by block; blocks of one component only are not.
-    marked = stored(_labelled(large, edges))
+    marked = stored(_labelled(large, roots))
     sizes = marked.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
     marked = marked.join(sizes, "label").withColumn("own", F.when(F.col("members") >= block, F.col("label")).otherwise(-1))
     marked = stored(_blocks(marked, "family", ["own"], block).select("node", "family", "label", "own", "part"))
@@ -416,7 +404,7 @@ def links(texts: DataFrame, families: DataFrame, k: int, percent: int, block: in
         )
     )
     last = marked.join(sides, ["family", "own", "part"]).join(texts, "node")
-    return stored(edges.union(_tile_edges(last.select("tile", "node", "text", "label", "side"), k, percent)))
+    return stored(_edges(roots).union(_tile_edges(last.select("tile", "node", "text", "label", "side"), k, percent)))
 
 
 def near_duplicates(
