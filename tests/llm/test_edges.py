@@ -148,6 +148,14 @@ def test_topk(spark):
     assert topk.top_k(frame.limit(0)).collect() == []
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 5.0])]
+    frame = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, embedding array<float>, rank int, score string")
+    for block in (1, 2, 100):
+        got = [tuple(r) for r in topk.top_k(frame, k=5, query_block=block, vector_block=block).orderBy("rank").collect()]
+        assert got == [(20, 1, 1, 12288), (20, 2, 1, 4096), (20, 3, 1, 4096), (20, 4, 2, 4096)]
+
+
 def test_chains():
     x = np.array([0, 5, 10, 11, 200, 206])
     y = np.array([0, 5, 11, 3, 900, 906])

@@ -38,9 +38,11 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * cast(x AS double))) AS terms FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT vec_id, min(terms) AS terms FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.terms, c.terms) AS bigint) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+  FROM q JOIN v c ON q.vec_id <> c.vec_id
 ), ranked AS (
   SELECT *, cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS integer) AS rank FROM scored
 )

@@ -13,14 +13,11 @@ VECTOR_BLOCK = 8_192
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, terms): floor(64 * x) of every component; rows without id, vector or with a component that is no finite number go.
-
-    Rows of one vec_id with different vectors count as one, the smallest.
-    """
+    """(vec_id, terms): floor(64 * x) of every component; rows without id, vector or with a component that is no finite number go."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    one = valid.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))
-    return one.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE)).alias("terms"))
+    terms = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE))
+    return valid.select(F.col("vec_id").cast("long").alias("vec_id"), terms.alias("terms"))
 
 
 def _packed(key, group):
@@ -91,21 +88,24 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest scores of every query, ties to the smaller vec_id.
 
-    Queries are the vectors whose vec_id ``every`` divides; all vectors but the query's own are candidates. A score
+    Queries are the vec_ids that ``every`` divides, with the smallest of their vectors where they have several; every row
+    of another vec_id is a candidate, repeated ones too. A score
     is the inner product of whole_numbers, a missing component being 0. Blocks of queries meet blocks of
     vectors, each pair of blocks once; a block's dense scores are added up from postings, and its k best selected and merged.
     No vectors give no rows. Sums are exact in 64 bits for components below 2**27.
     """
     terms = whole_numbers(vectors)
+    asked = terms.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("terms").alias("terms"))
     n, n_queries = terms.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0)).first()
     blocks, query_blocks = -(-n // vector_block) or 1, -(-n_queries // query_block) or 1
     packed = "block long, ids binary, lengths binary, values binary"
 
     def dealt(rows, parts):
-        return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("block")).applyInArrow(_packed, packed)
+        # Rows that one vec_id repeats differ in nothing but their vectors.
+        return rows.groupBy(F.pmod(F.xxhash64("vec_id", "terms"), F.lit(parts)).alias("block")).applyInArrow(_packed, packed)
 
     right = dealt(terms, blocks).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    left = dealt(terms.where(F.pmod("vec_id", F.lit(every)) == 0), query_blocks)
+    left = dealt(asked, query_blocks)
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.col("other").cast("long").alias("v"), F.col("block").alias("q"), "ids", "lengths", "values"
     )
