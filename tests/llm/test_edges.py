@@ -163,6 +163,27 @@ def test_chains():
     assert passages.common_words(np.array([1, 2, 3, 4, 9]), np.array([1, 3, 4, 5, 9])) == 4
 
 
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_passages_do_not_depend_on_the_dealing_of_rows(spark, parts):
+    """A passage whose halves occur alone in other documents, and near copies: the same in one task and in many."""
+    random.seed(12)
+    passage = [f"p{random.randrange(10**6)}" for _ in range(100)]
+    strange = [[f"s{random.randrange(10**6)}" for _ in range(60)] for _ in range(12)]
+    rows = [(1, strange[0] + passage), (2, passage + strange[1]), (3, strange[2] + passage[:48]), (4, passage[-48:] + strange[3])]
+    copy = [f"c{random.randrange(10**6)}" for _ in range(200)]
+    for i in range(10, 14):
+        own = list(copy)
+        own[40 * (i - 9)] = f"changed{i}"
+        rows.append((i, own))
+    rows += [(20 + k, s) for k, s in enumerate(strange[4:])]
+    docs = documents(spark, [(i, " ".join(ws)) for i, ws in rows]).repartition(parts, "doc_id")
+    found = {r.doc_id: r for r in passages.repeated_spans(passages.shared_passages(docs)).collect()}
+    assert set(found) == {1, 2, 10, 11, 12, 13}
+    assert list(found[1].partners) == [2] and list(found[2].partners) == [1]
+    for i in range(10, 14):
+        assert list(found[i].partners) == [j for j in range(10, 14) if j != i]
+
+
 def test_html():
     body = "<p>" + "A long sentence about &amp; things, told well. " * 4 + "</p>"
     page = f"<body><div class='top-nav'><a>Home</a></div><div id=story>{body}<p>Short.</p>{body}<div class=ad>Buy</div></div><div class='comments'>{body}</div><footer>x</footer>"
