@@ -14,7 +14,6 @@ FOLDS = 3
 # Bounds of the samples that the model is fitted on: trusted positives, and documents whatever their label.
 POSITIVES = 8_000
 UNLABELLED = 8_000
-SAMPLE_CHARS = 200_000
 
 # Classes of characters, whose pairs are the features.
 _CLASSES = [
@@ -140,16 +139,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(rows, pa.binary())], names=["positive", "x"])
 
 
-def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fits the model to samples of bounded size: at most ``POSITIVES`` and ``UNLABELLED`` documents, chosen by hash of doc_id.
+def fit(documents: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """Fits the model to samples of bounded size: at most ``positives`` and ``unlabelled`` documents, chosen by hash of doc_id.
 
-    Only labels of rows outside fold 1 are used, and of these only that quality is 1. Texts of more than
-    ``SAMPLE_CHARS`` characters are not taken as samples.
+    Only labels of rows outside fold 1 are used, and of these only that quality is 1. Texts count whole, whatever
+    their length, and a missing one as empty: each comes to the driver as one row of features.
     """
-    outside = documents.where((fold() != 1) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text")
+    outside = documents.where(fold() != 1).select("doc_id", F.col("text").cast("string").alias("text"))
     trusted = labels.where("quality = 1").where(fold() != 1).select("doc_id").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES)
-    others = outside.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED)
+    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    others = outside.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
     chosen = trusted.select("doc_id", F.lit(True).alias("positive")).union(others.select("doc_id", F.lit(False)))
     # At most a fixed number of ids.
     sample = outside.join(F.broadcast(chosen), "doc_id").select("positive", "text")
