@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from wakecross.functions.units import HARBOUR_RADIUS, PING_LEVEL
 from wakecross.operators.cover import disc_cover
 from wakecross.operators.joins import by_size
+from wakecross.sources.tables import stored
 
 
 def harbour_cells(ports: DataFrame, radius: float | None = HARBOUR_RADIUS, level: int = PING_LEVEL) -> DataFrame:
@@ -24,7 +25,7 @@ def outside_cells(candidates: DataFrame, cells: DataFrame, column: str) -> DataF
     Each row is judged by itself: a pair stays with its cells outside. The
     cells are broadcast only if a count shows that they are few.
     """
-    listed = by_size(cells.select(F.col("cell").alias(column)))
+    listed = by_size(stored(cells.select(F.col("cell").alias(column)).distinct()))
     return candidates.join(listed, column, "left_anti")
 
 

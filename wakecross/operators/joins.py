@@ -11,7 +11,8 @@ def by_size(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame marked for broadcast if it has at most ``rows`` rows, else for a shuffle.
 
     The rows are counted, up to the limit: Spark's own estimate does not see
-    that a cover makes thousands of cells of one row.
+    that a cover makes thousands of cells of one row. Store a frame first that
+    costs more than a scan, since it is evaluated for the count and for the join.
     """
     if frame.limit(rows + 1).count() <= rows:
         return F.broadcast(frame)

@@ -11,6 +11,7 @@ from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_bo
 from wakecross.operators.discs import discs_meet_in_box
 from wakecross.operators.hot_keys import KEY_ROWS, same_tile, tile_hot_keys
 from wakecross.operators.joins import by_size
+from wakecross.sources.tables import stored
 
 FIRST_T = 4
 EMIT = ("point", "shared")
@@ -93,8 +94,8 @@ def ping_encounters(
     if outside is not None:
         if emit != "shared":
             raise ValueError("cells can be left out before pairing in shared mode only")
-        cells = outside.select(cell_column(F.col("cell")).alias("ix"), cell_row(F.col("cell")).alias("iy"))
-        keyed = keyed.join(by_size(cells), ["ix", "iy"], "left_anti")
+        cells = outside.select("cell").distinct().select(cell_column(F.col("cell")).alias("ix"), cell_row(F.col("cell")).alias("iy"))
+        keyed = keyed.join(by_size(stored(cells)), ["ix", "iy"], "left_anti")
     tiled = tile_hot_keys(keyed, ["ix", "iy", "bucket"], "ping_id", key_rows)
 
     a, b = tiled.alias("a"), tiled.alias("b")
