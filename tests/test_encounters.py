@@ -281,3 +281,7 @@ def test_sides_are_broadcast_by_their_counted_size(spark):
 
     assert "BroadcastHashJoin" in plan(1000)
     assert "SortMergeJoin" in plan(999)
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1_000).alias("text"))
+    for size, kind in ((10_000, "BroadcastHashJoin"), (9_999, "SortMergeJoin")):
+        joined = spark.range(20).join(by_size(wide, size=size), "id")
+        assert kind in joined._jdf.queryExecution().executedPlan().toString()

@@ -159,6 +159,29 @@ def clustered_write_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_seconds(positions.in_time_range(spark.read.parquet(path), *TIME_RANGE))
 
 
+def schema_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of visits, replaced by one of other columns under its name."""
+    path = tables.shared_folder(spark)
+    rows = fixture.pings(spark, sf_dir)
+    tables.overwrite_files(rows.select("mmsi", "vessel_name"), path)
+    tables.overwrite_files(rows.groupBy("ix").agg(F.count(F.lit(1)).alias("pings"), F.max("ts").alias("last")), path)
+    return _in_seconds(spark.read.parquet(path))
+
+
+def cached_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings and vessels per cell and in all, from one frame that is cached while both are written."""
+    with tables.cached(fixture.pings(spark, sf_dir).select("ix", "mmsi")) as rows:
+        counts = [F.count(F.lit(1)).alias("pings"), F.countDistinct("mmsi").alias("vessels")]
+        cells = tables.stored(rows.groupBy("ix").agg(*counts))
+        whole = tables.stored(rows.agg(*counts).select(F.lit(-1).cast("long").alias("ix"), "pings", "vessels"))
+    return cells.unionByName(whole)
+
+
+def track_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of the whole track of one vessel."""
+    return tables.preview(positions.track(fixture.pings(spark, sf_dir), TRACKED), 5)
+
+
 def wkb_srid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per SRID where every other ping is EWKB and the rest plain WKB."""
     lon, lat = F.col("lon"), F.col("lat")
@@ -450,7 +473,8 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         ais_cargo_filter, ais_time_range, point_index, track_listing, star_except, daily_manifest,
-        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, ports_file, clustered_write_roundtrip, replaced_hour, wkb_srid, wkb_extents, binary_layer_centre,
+        missing_archives, position_csv_roundtrip, zip_ingest_roundtrip, ports_file, clustered_write_roundtrip, replaced_hour,
+        schema_replaced, cached_counts, track_preview, wkb_srid, wkb_extents, binary_layer_centre,
         cell_bounds_text, disc_cover_cells, capsule_cover_cells, harbour_cells, ping_pairs_reference_window,
         ping_pairs_corrected_window, ping_pairs_shared_cells, ping_pairs_outside_harbours, encounter_heatmap,
         encounter_topk, heatmap_sql_view, tumbling_lines, line_segments, line_buffer_radius, line_area_cap,

@@ -66,11 +66,11 @@ def in_time_range(pings: DataFrame, first: str | datetime, last: str | datetime)
 def index_pings(pings: DataFrame, level: int = PING_LEVEL) -> DataFrame:
     """Adds point text, grid cell and km/h, and a ping id where there is none.
 
-    Write the result as a table before joining it, so that generated ids and
-    the column-pruned scan are stable.
+    A generated id is a hash of the whole row, so it stays the same however
+    the rows are read again; equal rows share one.
     """
     if "ping_id" not in pings.columns:
-        pings = pings.withColumn("ping_id", F.monotonically_increasing_id())
+        pings = pings.withColumn("ping_id", F.xxhash64(*pings.columns))
     return on_earth(pings).withColumns(
         {
             "point": point_text(F.col("lon"), F.col("lat")),
