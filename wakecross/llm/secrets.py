@@ -1,6 +1,5 @@
 """Secrets in texts, also under layers of URL, Unicode, base64 and compressed encoding."""
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -9,6 +8,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +27,15 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 
 # Long runs: all that hex numbers and base64 can be within.
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# Base64 in lines of one length or another, such as mail and keys have it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
+# Decoded bytes without any of these hold no secret and no further layer.
+USEFUL = re.compile(rb"[A-Za-z0-9+/_-]{12}|%[0-9A-Fa-fu]|\\[uUx]|&#|AKIA|(?i:passw|secret|token|api_?key)")
+# How gzip, bzip2, xz and zlib data begins.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_OPENERS = {
+    b"\x1f": lambda: zlib.decompressobj(31), b"B": bz2.BZ2Decompressor, b"\xfd": lzma.LZMADecompressor, b"\x78": zlib.decompressobj,
+}
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(
     r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
@@ -124,71 +133,66 @@ def _from_escape(match: re.Match) -> list[tuple[str, int]]:
     return [(chr(number) if valid else "\ufffd", len(match[0]))]
 
 
-def _unpacked(data: bytes, room: int) -> tuple[bytes, bool]:
-    """Decompressed data if it is compressed, else the data; and whether some had to be left."""
-    makers = []
-    if data[:2] == b"\x1f\x8b":
-        makers.append(lambda: zlib.decompressobj(31))
-    elif data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-        makers.append(zlib.decompressobj)
-    elif data[:3] == b"BZh":
-        makers.append(bz2.BZ2Decompressor)
-    elif data[:6] == b"\xfd7zXZ\x00":
-        makers.append(lzma.LZMADecompressor)
-    for make in makers:
+def _unpacked(data: bytes, room: int) -> Iterator[tuple[bytes, bool]]:
+    """What compressed data anywhere in the bytes holds, and whether some of it had to be left."""
+    for start in MAGIC.finditer(data):
+        make = _OPENERS[start[0][:1]]
         try:
             job = make()
-            out = job.decompress(data, room)
-            return out, not job.eof and len(out) >= room
+            out = job.decompress(data[start.start() :], room)
+            if out:
+                yield out, not job.eof and len(out) >= room
         except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
             continue
-    return data, False
 
 
-def _text_of(data: bytes, room: int) -> tuple[str | None, bool]:
-    """The text in decoded bytes, through layers of compression; None if it is not text."""
-    cut = False
-    seen = set()
-    while (digest := hashlib.sha256(data).digest()) not in seen:
+def _texts_of(data: bytes, room: int) -> Iterator[tuple[str, bool]]:
+    """The texts in decoded bytes, through layers of compression, and whether some had to be left.
+
+    Bytes that are not UTF-8 are read one by one, so that a secret among them is seen; bytes with nothing to
+    look for are left out.
+    """
+    todo, seen = [(data, False)], set()
+    while todo:
+        data, cut = todo.pop()
+        digest = hashlib.sha256(data).digest()
+        if digest in seen:
+            continue
         seen.add(digest)
-        inner, more = _unpacked(data, room)
-        cut |= more
-        if inner is data:
-            break
-        data = inner
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        if not cut:
-            return None, cut
-        text = data.decode("utf-8", "ignore")
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text[:4096])
-    return (text if text and not odd else None), cut
+        todo.extend(_unpacked(data, room))
+        if cut or USEFUL.search(data):
+            try:
+                yield data.decode("utf-8"), cut
+            except UnicodeDecodeError:
+                yield data.decode("latin-1"), cut
 
 
 def _from_base64(layer: Layer, room: int) -> Iterator[tuple[Layer, bool]]:
-    for run in LONG.finditer(layer.text):
+    """Every run read from each of its first four characters, since what stands before base64 can look like it."""
+    runs = [LONG.finditer(layer.text)]
+    if "\n" in layer.text:
+        runs.append(WRAPPED.finditer(layer.text))
+    for run in chain.from_iterable(runs):
         body = run[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        text, cut = _text_of(data, room)
-        if text is not None:
-            yield Layer(text, layer.place(run.start(), run.end())), cut
+        if "\n" in body:
+            body = body.replace("\r", "").replace("\n", "")
+        for skipped in range(4):
+            part = body[skipped:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            data = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            for text, cut in _texts_of(data, room):
+                yield Layer(text, layer.place(run.start(), run.end())), cut
 
 
-def unwrapped(text: str, room: int = LAYER_CHARS) -> tuple[set[tuple[int, int, int]], bool]:
-    """Secrets in all decoded layers, by the span they come from; and whether a layer was too large to look through.
+def unwrapped(text: str, room: int = LAYER_CHARS) -> tuple[set[tuple[int, int, int]], set[tuple[int, int]]]:
+    """Secrets in all decoded layers, by the span they come from; and spans of layers too large to look through whole.
 
     A worklist: every layer is decoded each way, and each new result is a layer in turn.
     A text that was met before for the same span ends a cycle.
     """
     if "%" not in text and "\\" not in text and "&#" not in text and not LONG.search(text):
-        return set(), False
-    found, cut = set(), False
+        return set(), set()
+    found, cut = set(), set()
     todo = [Layer(text, (0, len(text)), [0], [(0, 0)])]
     seen = {(text, (0, len(text)))}
     while todo:
@@ -199,15 +203,16 @@ def unwrapped(text: str, room: int = LAYER_CHARS) -> tuple[set[tuple[int, int, i
         if "\\" in layer.text or "&#" in layer.text or "%u" in layer.text:
             following.append(layer.rewritten(ESCAPE, _from_escape))
         for inner, more in _from_base64(layer, max(room, 1)):
-            cut |= more
+            if more:
+                cut.add(inner.span)
             following.append(inner)
         for inner in following:
             if inner is None or (inner.text, inner.span) in seen:
                 continue
+            if len(inner.text) > room:
+                cut.add(inner.span)
+                continue
             room -= len(inner.text)
-            if room < 0:
-                cut = True
-                break
             seen.add((inner.text, inner.span))
             found.update((*inner.place(s, e)[:1], kind, inner.place(s, e)[1]) for s, kind, e in scan(inner.text))
             todo.append(inner)
@@ -225,7 +230,7 @@ def _rows(texts: list[str | None]) -> dict[str, pa.Array]:
         more, cut = unwrapped(text or "")
         base.append(own)
         every.append(sorted(more.union(own)))
-        cuts.append(cut)
+        cuts.append(bool(cut))
     counts = {f"n_{name}": [sum(s[1] == k for s in own) for own in base] for k, name in enumerate(KINDS)}
     return {name: pa.array(column, pa.int64()) for name, column in counts.items()} | {
         "base_sha256": pa.array([hashlib.sha256(_spelled(own).encode()).hexdigest() for own in base], pa.string()),
@@ -237,7 +242,8 @@ def _rows(texts: list[str | None]) -> dict[str, pa.Array]:
 def _redacted(texts: list[str | None], mark: str) -> pa.Array:
     out = []
     for text in texts:
-        spans = sorted((s, e) for s, _, e in unwrapped(text or "")[0].union(scan(text or "")))
+        found, cut = unwrapped(text or "")
+        spans = sorted({(s, e) for s, _, e in found.union(scan(text or ""))} | cut)
         if not spans:
             out.append(text)
             continue
@@ -255,8 +261,8 @@ def secrets(documents: DataFrame, *keep: str) -> DataFrame:
 
     Spans are kind:start:end in characters, end exclusive, by start, then kind, joined by commas. A
     secret under layers has the span of what encodes it: exact where characters are encoded one by
-    one (URL, Unicode), else the whole base64 run. A null or empty text has none. ``cut`` marks
-    rows whose decoded layers grew beyond ``LAYER_CHARS``; these are searched that far, base spans always in full.
+    one (URL, Unicode), else the whole base64 run, wrapped lines together. A null or empty text has none. ``cut`` marks
+    rows whose decoded layers grew beyond ``LAYER_CHARS`` and are not all searched; base spans always are.
     """
     added = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, cut boolean"
 
@@ -272,7 +278,10 @@ def secrets(documents: DataFrame, *keep: str) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with every secret's span replaced, overlapping spans together; n_chars, if there, follows."""
+    """The documents with every secret's span replaced, overlapping spans together; n_chars, if there, follows.
+
+    What decodes to more than can be looked through is replaced too.
+    """
 
     def change(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
