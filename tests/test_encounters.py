@@ -162,7 +162,7 @@ def test_cut_lines_give_the_same_segments(spark, pings):
     assert capped[0] == capped[1] and len(capped[0]) < whole.count()
 
 
-@pytest.mark.parametrize("part_rows", [1, 2, 5])
+@pytest.mark.parametrize("part_rows", [1, 5])
 def test_lines_do_not_depend_on_the_size_of_parts(spark, pings, part_rows):
     hot = pings.withColumn("mmsi", F.when(F.col("ping_id") % 3 == 0, F.lit(7)).otherwise(F.col("mmsi")))
 

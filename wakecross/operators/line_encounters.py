@@ -46,25 +46,23 @@ def _overlapping(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -
     return (low_a <= high_b) & (low_b <= high_a)
 
 
-def _shared_cells(met: DataFrame, level: int, emit_level: int) -> DataFrame:
-    """One row per cell of ``emit_level`` within the key cell (ix, iy) in which the buffers of a pair meet."""
-
-    def within(key: str, low: Column, high: Column) -> Column:
-        if emit_level < level:
-            cell = F.shiftright(key, level - emit_level)
-            return F.array(cell)
-        first = F.shiftleft(key, emit_level - level)
-        low, high = F.greatest(low, first), F.least(high, first + ((1 << (emit_level - level)) - 1))
+def _shared_cells(met: DataFrame, emit_level: int, level: int | None) -> DataFrame:
+    """One row per cell of ``emit_level`` in which the buffers of a pair meet; of ``level``, only those in the key cell (ix, iy)."""
+
+    def cells(key: str, low: Column, high: Column) -> Column:
+        if level is not None:
+            first = F.shiftleft(key, emit_level - level)
+            low, high = F.greatest(low, first), F.least(high, first + ((1 << (emit_level - level)) - 1))
         return F.when(low <= high, F.sequence(low, high))
 
     south = row_index(F.greatest("south_1", "south_2"), emit_level)
     north = row_index(F.least("north_1", "north_2"), emit_level)
     west = column_index(F.greatest("west_1", "west_2"), emit_level)
     east = column_index(F.least("east_1", "east_2"), emit_level)
-    rows = met.select(*[c for c in met.columns if c != "iy"], F.explode(within("iy", south, north)).alias("iy"))
-    cells = rows.select(*[c for c in rows.columns if c != "ix"], F.explode(within("ix", west, east)).alias("ix"))
+    rows = met.select(*[c for c in met.columns if c != "iy"], F.explode(cells("iy", south, north)).alias("iy"))
+    found = rows.select(*[c for c in rows.columns if c != "ix"], F.explode(cells("ix", west, east)).alias("ix"))
     p, q = (tuple(F.col(f"{c}_{n}") for c in SEGMENT) for n in ("1", "2"))
-    return meet_in_box(cells, p, q, F.col("r_1"), F.col("r_2"), cell_box(emit_level))
+    return meet_in_box(found, p, q, F.col("r_1"), F.col("r_2"), cell_box(emit_level))
 
 
 def line_encounters(
@@ -82,11 +80,11 @@ def line_encounters(
     adds ``index``, the cells of ``emit_level`` in which both buffered lines
     have a point in common.
 
-    Segments are joined on coarse cell and window. In point mode a pair is tested
-    once; in shared mode each coarse cell yields the small cells in it. Rows are made
-    distinct before and after the last shuffle. ``outside`` is a frame of cells
+    Segments are joined on coarse cell and window, each pair is tested once,
+    and rows are made distinct before and after the last shuffle. ``outside`` is a frame of cells
     (of ``emit_level``, shared mode only) to leave out: full coarse cells among
-    them are dropped before pairing, the others from the pairs' cells.
+    them are dropped before pairing, the others from the pairs' cells. Then each
+    coarse cell that is left yields the small cells in it.
     """
     if emit not in ("point", "shared"):
         raise ValueError(f"unknown emit: {emit}")
@@ -99,7 +97,8 @@ def line_encounters(
         coarse = whole.select(cell_column(F.col("cell")).alias("ix"), cell_row(F.col("cell")).alias("iy"))
         keyed = keyed.join(by_size(coarse), ["ix", "iy"], "left_anti")
     tiled = tile_hot_keys(keyed, ["ix", "iy", "window_start"], "ping_id", key_rows)
-    once = FIRST_X + FIRST_Y if emit == "point" else 0
+    # Without the cell that would count a pair, every cell has to.
+    once = FIRST_X + FIRST_Y if outside is None else 0
     tests = [
         *[F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("ix", "iy", "window_start", "tile")],
         F.col("a.first").bitwiseOR(F.col("b.first")).bitwiseAND(once) == once,
@@ -122,7 +121,7 @@ def line_encounters(
     keys = ["vessel_1", "vessel_2", "window_start", "window_end"]
     if emit == "point":
         return met.select(*keys).distinct()
-    cells = _shared_cells(met, level, emit_level)
+    cells = _shared_cells(met, emit_level, None if outside is None else level)
     found = cells.select(*keys, cell_id(F.col("ix"), F.col("iy"), emit_level).alias("index"))
     if outside is not None:
         found = outside_compacted(found, compact, "index", emit_level, level)
