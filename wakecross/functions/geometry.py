@@ -74,22 +74,21 @@ def side_offset(segment, r: Column) -> tuple[Column, Column]:
     return F.coalesce(r * (y1 - y2) / length, F.lit(0.0)), F.coalesce(r * (x2 - x1) / length, F.lit(0.0))
 
 
-def chord(at: Column, a1: Column, b1: Column, a2: Column, b2: Column, r: Column, na: Column, nb: Column):
-    """The stretch along axis a of a buffered segment where axis b has the value ``at``: its ends, NULL where there is none.
+def chord_parts(at: Column, a1: Column, b1: Column, a2: Column, b2: Column, r: Column, na: Column, nb: Column) -> list[Column]:
+    """Of a buffered segment where axis b has the value ``at``: half the stretch of each end's circle along axis a, and
+    the places of both sides; NULL where there is none. The segment runs from (a1, b1) to (a2, b2), and (na, nb) leads to its side."""
+    gaps = [r * r - (at - b) * (at - b) for b in (b1, b2)]
+    shares = [(at - b1 - nb) / F.nullif(b2 - b1, F.lit(0.0)), (at - b1 + nb) / F.nullif(b2 - b1, F.lit(0.0))]
+    sides = [a1 + na + shares[0] * (a2 - a1), a1 - na + shares[1] * (a2 - a1)]
+    return [F.when(g >= 0, F.sqrt(g)) for g in gaps] + [F.when(t.between(0.0, 1.0), s) for t, s in zip(shares, sides)]
 
-    The segment runs from (a1, b1) to (a2, b2), and (na, nb) leads to its side. The buffer is bounded by two
-    circles and two sides, and is convex: the stretch reaches as far as any of the four.
+
+def chord(parts: list[Column], a1: Column, a2: Column) -> tuple[Column, Column]:
+    """The ends of the stretch along axis a, from its parts.
+
+    The buffer is bounded by two circles and two sides, and is convex: the stretch reaches as far as any of the four.
     """
-    tries = []
-    for a, b in ((a1, b1), (a2, b2)):
-        gap = r * r - (at - b) * (at - b)
-        half = F.when(gap >= 0, F.sqrt(gap))
-        tries.append((a - half, a + half))
-    for sign in (1.0, -1.0):
-        share = (at - b1 - sign * nb) / F.nullif(b2 - b1, F.lit(0.0))
-        side = F.when((share >= 0) & (share <= 1), a1 + sign * na + share * (a2 - a1))
-        tries.append((side, side))
-    return F.least(*[low for low, _ in tries]), F.greatest(*[high for _, high in tries])
+    return F.least(a1 - parts[0], a2 - parts[1], *parts[2:]), F.greatest(a1 + parts[0], a2 + parts[1], *parts[2:])
 
 
 def square_metres(lat: Column) -> Column:

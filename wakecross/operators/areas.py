@@ -38,7 +38,9 @@ def swept_areas(segments: DataFrame, keys: list[str], strips: int = STRIPS) -> D
         "*", F.explode(F.when(low <= high, F.sequence(low, high))).alias("strip")
     )
     rows = let(rows, at_=start + (F.col("strip") + 0.5) * step)
-    ends = G.chord(F.col("at_"), y1, x1, y2, x2, r, F.col("ny_"), F.col("nx_"))
+    parts = G.chord_parts(F.col("at_"), y1, x1, y2, x2, r, F.col("ny_"), F.col("nx_"))
+    rows = let(rows, **{f"part{k}_": part for k, part in enumerate(parts)})
+    ends = G.chord([F.col(f"part{k}_") for k in range(4)], y1, y2)
     cut = let(rows, low_=ends[0], high_=ends[1]).where("low_ IS NOT NULL").select(*keys, "strip", "r", "low_", "high_")
     before = Window.partitionBy(*keys, "strip").orderBy("low_", "high_").rowsBetween(Window.unboundedPreceding, -1)
     reached = cut.withColumn("reach_", F.coalesce(F.max("high_").over(before), F.col("low_")))

@@ -55,14 +55,18 @@ def meet_in_box(met: DataFrame, p, q, r_p: Column, r_q: Column, box) -> DataFram
         west_=box[0], south_=box[1], east_=box[2], north_=box[3],
     )
     along = {"south_": ("x", "west_", "east_"), "north_": ("x", "west_", "east_"), "west_": ("y", "south_", "north_"), "east_": ("y", "south_", "north_")}
-    chords = {}
+    # One edge a step: a generated method with all of them would be too long to be compiled to machine code.
     for edge, (axis, _, _) in along.items():
         a, b = (0, 1) if axis == "x" else (1, 0)
+        parts = {}
         for n, (s, r) in sides.items():
             normal = [F.col(f"n{'xy'[k]}_{n}") for k in (a, b)]
-            low, high = G.chord(F.col(edge), s[a], s[b], s[a + 2], s[b + 2], r, *normal)
-            chords |= {f"{edge}low_{n}": low, f"{edge}high_{n}": high}
-    stepped = let(stepped, **chords)
+            parts |= {f"{edge}{n}{k}": v for k, v in enumerate(G.chord_parts(F.col(edge), s[a], s[b], s[a + 2], s[b + 2], r, *normal))}
+        stepped = let(stepped, **parts)
+        ends = {}
+        for n, (s, _) in sides.items():
+            ends |= dict(zip((f"{edge}low_{n}", f"{edge}high_{n}"), G.chord([F.col(f"{edge}{n}{k}") for k in range(4)], s[a], s[a + 2])))
+        stepped = let(stepped, **ends).drop(*parts)
     x, y = F.col("meet_x"), F.col("meet_y")
     inside = (x >= F.col("west_")) & (x <= F.col("east_")) & (y >= F.col("south_")) & (y <= F.col("north_"))
     tests = [inside]
