@@ -106,6 +106,17 @@ def test_one_archive_serves_many_tasks(spark, tmp_path):
     assert archives.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_empty_archives_of_tasks_without_rows_are_read(spark, tmp_path):
+    lines = spark.range(0, 40, 1, 4).where("id < 10").select(F.concat(F.col("id") + 366000000, F.lit(GOOD[9:])).alias("line"))
+    archives.write_archives(lines, str(tmp_path / "z"), HEADER, rows_per_member=3)
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "z").iterdir() if f.suffix == ".zip")
+    assert len(sizes) == 4 and sizes[0] == 22
+    assert {r.MMSI for r in archives.read_archives(spark, str(tmp_path / "z")).collect()} == set(range(366000000, 366000010))
+    archives.write_archives(lines.where("false"), str(tmp_path / "none"), HEADER)
+    (tmp_path / "none").mkdir(exist_ok=True)
+    assert archives.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
 def _scan_metrics(frame):
     frame.collect()
     leaf = frame._jdf.queryExecution().executedPlan().collectLeaves().apply(0)

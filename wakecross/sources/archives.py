@@ -1,5 +1,6 @@
 """Daily zip archives of position files."""
 
+import errno
 import io
 import itertools
 import os
@@ -42,15 +43,45 @@ def present_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
 
 
+class _Ranges(io.RawIOBase):
+    """A file of a store with the errors of Python's own files; ``zipfile`` relies on them in small archives."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        return self.file.readinto(buffer)
+
+    def tell(self) -> int:
+        return self.file.tell()
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        start = {io.SEEK_SET: 0, io.SEEK_CUR: self.file.tell(), io.SEEK_END: self.file.size()}[whence]
+        if start + offset < 0:
+            raise OSError(errno.EINVAL, "position before the start of the file")
+        return self.file.seek(start + offset)
+
+    def close(self) -> None:
+        if not self.closed:
+            self.file.close()
+        super().close()
+
+
 def open_seekable(path: str):
     """A file of any mounted or known store, opened for reading byte ranges."""
     if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file(unquote("/" + path[5:].lstrip("/")))
+        return _Ranges(fs.LocalFileSystem().open_input_file(unquote("/" + path[5:].lstrip("/"))))
     if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
+        return _Ranges(fs.LocalFileSystem().open_input_file(path))
     # Names of one store that differ between readers.
     system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
-    return system.open_input_file(inner)
+    return _Ranges(system.open_input_file(inner))
 
 
 def _records(text: Iterator[str]) -> Iterator[str]:
@@ -76,9 +107,11 @@ def _member_lister() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame
             for path in batch["path"]:
                 with open_seekable(path) as source, zipfile.ZipFile(source) as archive:
                     found = [i for i in archive.infolist() if i.filename.lower().endswith(".csv")]
-                    yield pd.DataFrame({
-                        "path": [path] * len(found), "member": [i.filename for i in found], "size": [i.file_size for i in found],
-                    })
+                    # A task without rows has left an archive without members.
+                    if found:
+                        yield pd.DataFrame({
+                            "path": [path] * len(found), "member": [i.filename for i in found], "size": [i.file_size for i in found],
+                        })
 
     return members
 
