@@ -225,6 +225,28 @@ def test_passages_do_not_depend_on_the_dealing_of_rows(spark, parts):
         assert list(found[i].partners) == [j for j in range(10, 14) if j != i]
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_passages_of_documents_far_apart_in_their_order(spark, parts):
+    """Two documents share 60 words whole; each third of these stands in many others between them, and none of these has them all."""
+    random.seed(5)
+    passage = [f"p{random.randrange(10**6)}" for _ in range(60)]
+    fresh = lambda n: [f"s{random.randrange(10**6)}" for _ in range(n)]
+    rows = [(1, fresh(40) + passage + fresh(40)), (900, fresh(30) + passage + fresh(50))]
+    between = iter(range(100, 800))
+    for start in range(0, 60, 4):
+        for _ in range(8):
+            rows.append((next(between), fresh(30) + passage[start : start + 24] + fresh(30)))
+    # Boilerplate all have: connected without all pairs.
+    notice = fresh(60)
+    rows += [(1000 + k, fresh(20) + notice + fresh(20)) for k in range(30)]
+    docs = documents(spark, [(i, " ".join(ws)) for i, ws in rows]).repartition(parts, "doc_id")
+    found = {r.doc_id: r for r in passages.repeated_spans(passages.shared_passages(docs)).collect()}
+    assert list(found[1].partners) == [900] and list(found[900].partners) == [1]
+    assert [tuple(s) for s in found[1].spans] == [(40, 100)] and [tuple(s) for s in found[900].spans] == [(30, 90)]
+    assert {i: r.class_id for i, r in found.items()} == {1: 1, 900: 1} | {1000 + k: 1000 for k in range(30)}
+    assert all([tuple(s) for s in found[1000 + k].spans] == [(20, 80)] for k in range(30))
+
+
 def test_html():
     body = "<p>" + "A long sentence about &amp; things, told well. " * 4 + "</p>"
     page = f"<body><div class='top-nav'><a>Home</a></div><div id=story>{body}<p>Short.</p>{body}<div class=ad>Buy</div></div><div class='comments'>{body}</div><footer>x</footer>"
