@@ -11,7 +11,7 @@ from wakecross.functions.grid import cell_of, cell_parent
 from wakecross.operators import trajectories as T
 from wakecross.operators.cover import compacted, disc_cover, outside_compacted
 from wakecross.operators.harbours import encounters_outside, first_encounters, harbour_cells, outside_cells
-from wakecross.operators.line_encounters import line_encounters
+from wakecross.operators.line_encounters import _shared_cells, line_encounters
 from wakecross.operators.segments import meet_in_box, meeting
 from wakecross.operators.summaries import line_heatmap
 
@@ -153,3 +153,12 @@ def test_first_rows_of_pairs_and_cells(spark):
         assert (len(own), min(own)) == (count, first)
     for result in (first_encounters(frame), line_heatmap(frame, 100.0)):
         assert "SortAggregate" not in _plan(result) and "HashAggregate" in _plan(result)
+
+
+def test_edges_along_a_row_of_cells_are_cut_once_a_row(spark):
+    names = [f"{c}_{k}" for c in ("x1", "y1", "x2", "y2", "r", "west", "south", "east", "north") for k in "12"] + ["meet_x", "meet_y"]
+    met = spark.createDataFrame([], ", ".join(f"{c} double" for c in names))
+    steps = [x for x in _shared_cells(met, 17, None)._jdf.queryExecution().analyzed().toString().splitlines() if "Generate " in x]
+    cells = next(k for k, x in enumerate(steps) if "Generate explode" in x)
+    # The plan is written from its end: what comes before the listing of cells is below it.
+    assert min(k for k, x in enumerate(steps) if "south_" in x) > cells

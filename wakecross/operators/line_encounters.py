@@ -9,7 +9,7 @@ from wakecross.functions.units import LINE_LEVEL, PING_LEVEL
 from wakecross.operators.cover import FIRST_X, FIRST_Y, SLACK, box_keys, cell_box, compacted, outside_compacted
 from wakecross.operators.hot_keys import KEY_ROWS, same_tile, tile_hot_keys
 from wakecross.operators.joins import by_size
-from wakecross.operators.segments import meet_in_box, meeting
+from wakecross.operators.segments import meeting, meeting_in_box, with_offsets, with_stretches
 from wakecross.sources.tables import stored
 
 # Long segments are keyed in pieces of at most this many cells a side.
@@ -59,10 +59,15 @@ def _shared_cells(met: DataFrame, emit_level: int, level: int | None) -> DataFra
     north = row_index(F.least("north_1", "north_2"), emit_level)
     west = column_index(F.greatest("west_1", "west_2"), emit_level)
     east = column_index(F.least("east_1", "east_2"), emit_level)
-    rows = met.select(*[c for c in met.columns if c != "iy"], F.explode(cells("iy", south, north)).alias("iy"))
-    found = rows.select(*[c for c in rows.columns if c != "ix"], F.explode(cells("ix", west, east)).alias("ix"))
     p, q = (tuple(F.col(f"{c}_{n}") for c in SEGMENT) for n in ("1", "2"))
-    return meet_in_box(found, p, q, F.col("r_1"), F.col("r_2"), cell_box(emit_level))
+    buffers = (p, q, F.col("r_1"), F.col("r_2"))
+    own_west, own_south, own_east, own_north = cell_box(emit_level)
+    pairs = with_offsets(met, *buffers)
+    rows = pairs.select(*[c for c in pairs.columns if c != "iy"], F.explode(cells("iy", south, north)).alias("iy"))
+    # Cells of a row have their southern and northern edges on the same lines.
+    rows = with_stretches(rows, *buffers, "x", south_=own_south, north_=own_north)
+    found = rows.select(*[c for c in rows.columns if c != "ix"], F.explode(cells("ix", west, east)).alias("ix"))
+    return meeting_in_box(with_stretches(found, *buffers, "y", west_=own_west, east_=own_east))
 
 
 def line_encounters(
