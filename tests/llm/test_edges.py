@@ -6,6 +6,7 @@ import random
 import urllib.parse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 import brute
 import corpus_pipeline
 from wakecross.llm import bpe, decontamination, html_text, jaccard_join, language_model, passages, quality, secrets, topk, toxicity
+from wakecross.llm.components import forest
 from wakecross.llm.fm_index import FMIndex
 from wakecross.llm.queries import VOCABULARY
 
@@ -247,6 +249,54 @@ def test_passages_of_documents_far_apart_in_their_order(spark, parts):
     assert all([tuple(s) for s in found[1000 + k].spans] == [(20, 80)] for k in range(30))
 
 
+def test_a_common_sentence_makes_no_comparisons(spark, monkeypatch):
+    """Documents that share a sentence of 30 words and nothing beside it are told apart without their texts."""
+    random.seed(8)
+    sentence = [f"p{random.randrange(10**6)}" for _ in range(30)]
+    rows = [(k, [f"s{random.randrange(10**6)}" for _ in range(30)] + sentence + [f"s{random.randrange(10**6)}" for _ in range(30)]) for k in range(40)]
+
+    def refuse(least, percent):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    raise ValueError("compared whole")
+                yield batch.select([])
+
+        return run
+
+    monkeypatch.setattr(passages, "_whole_pairs", refuse)
+    assert passages.shared_passages(documents(spark, [(i, " ".join(ws)) for i, ws in rows])).collect() == []
+
+
+def test_passages_are_those_of_all_pairs(spark):
+    """Common sentences with changes, side by side, and runs of one word: no word and no connection of all pairs is missing."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"s{rng.randrange(10**6)}" for _ in range(n)]
+    common = [fresh(n) for n in (12, 20, 28, 36, 44, 49)]
+    rows = []
+    for i in range(60):
+        own = fresh(rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(common))
+            if rng.random() < 0.4:
+                part[rng.randrange(len(part))] = "changed"
+            if rng.random() < 0.3:
+                del part[rng.randrange(len(part))]
+            own += part + ["the"] * rng.choice([0, 0, 17, 24, 33]) + fresh(rng.choice([0, 0, 3, 15, 60]))
+        rows.append((i, " ".join(own)))
+    pairs = [(a, b) for k, a in enumerate(rows) for b in rows[k + 1 :]]
+    batch = pa.table({f"{n}_{k + 1}": [p[k][c] for p in pairs] for c, n in enumerate(("doc", "text")) for k in (0, 1)}).to_batches()
+    brute_rows = [r for part in passages._whole_pairs(50, 80)(iter(batch)) for r in part.to_pylist()]
+    found = [r.asDict() for r in passages.shared_passages(documents(spark, rows)).collect()]
+    assert brute_rows and _covered_words(brute_rows) <= _covered_words(found)
+    classes = dict(forest(*(np.array([r[f"doc_{k}"] for r in found]) for k in (1, 2))).tolist())
+    assert all(classes.get(r["doc_1"], r["doc_1"]) == classes.get(r["doc_2"], r["doc_2"]) for r in brute_rows)
+
+
+def _covered_words(found):
+    return {(r[f"doc_{k}"], w) for r in found for k in (1, 2) for w in range(r[f"start_{k}"], r[f"end_{k}"])}
+
+
 def test_html():
     body = "<p>" + "A long sentence about &amp; things, told well. " * 4 + "</p>"
     page = f"<body><div class='top-nav'><a>Home</a></div><div id=story>{body}<p>Short.</p>{body}<div class=ad>Buy</div></div><div class='comments'>{body}</div><footer>x</footer>"
