@@ -293,6 +293,40 @@ def test_passages_are_those_of_all_pairs(spark):
     assert all(classes.get(r["doc_1"], r["doc_1"]) == classes.get(r["doc_2"], r["doc_2"]) for r in brute_rows)
 
 
+def _of_all_pairs(rows):
+    """Passages of all pairs of documents, each compared whole."""
+    pairs = [(a, b) for k, a in enumerate(rows) for b in rows[k + 1 :]]
+    batch = pa.table({f"{n}_{k + 1}": [p[k][c] for p in pairs] for c, n in enumerate(("doc", "text")) for k in (0, 1)}).to_batches()
+    return [r for part in passages._whole_pairs(50, 80)(iter(batch)) for r in part.to_pylist()]
+
+
+def test_near_copies_are_compared_with_a_few_others(spark, monkeypatch):
+    """Of a group of near copies few pairs are compared whole; connections are those of all pairs, and words but for some beyond outer seeds."""
+    rng = random.Random(12)
+    base = [f"s{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(k, " ".join(f"x{rng.randrange(10**6)}" if rng.random() < 0.08 else w for w in base)) for k in range(60)]
+    compared, sizes = passages._compared, []
+    monkeypatch.setattr(passages, "FEW_BYTES", 0)
+    monkeypatch.setattr(passages, "_compared", lambda pairs, *rest: sizes.append(pairs.count()) or compared(pairs, *rest))
+    found = [r.asDict() for r in passages.shared_passages(documents(spark, rows)).collect()]
+    brute_rows = _of_all_pairs(rows)
+    # All at once, 320 of 1,770 are.
+    assert 0 < sum(sizes) < 240
+    lost = _covered_words(brute_rows) - _covered_words(found)
+    assert len(lost) < len(_covered_words(brute_rows)) // 100
+    classes = dict(forest(*(np.array([r[f"doc_{k}"] for r in found]) for k in (1, 2))).tolist())
+    assert {classes.get(k, k) for k in range(60)} == {0}
+
+
+def test_words_that_alternate_are_one_passage():
+    """Two words in turn, of different lengths: no passage for each of their offsets, and no word is missing."""
+    rows = [(k, " ".join(f"{c}{n}" for n in range(20)) + " tick tock" * turns) for k, (c, turns) in enumerate([("a", 310), ("b", 120), ("c", 45)])]
+    found = _of_all_pairs(rows)
+    assert len(found) <= 20
+    assert {w for d, w in _covered_words(found) if d == 0} >= set(range(20, 640))
+    assert {w for d, w in _covered_words(found) if d == 1} >= set(range(20, 260))
+
+
 def _covered_words(found):
     return {(r[f"doc_{k}"], w) for r in found for k in (1, 2) for w in range(r[f"start_{k}"], r[f"end_{k}"])}
 
